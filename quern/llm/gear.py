@@ -19,13 +19,17 @@ def _gear_table(seed: int = 0x9E3779B9) -> np.ndarray:
 GEAR = _gear_table()
 
 
-def gear_hashes(data: np.ndarray) -> np.ndarray:
-    """h[i] = (h[i-1] << 1) + GEAR[data[i]] modulo 2^32 for every i, by doubling the window five times."""
+def gear_hashes(data: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """h[i]: sum of GEAR[data[i - j]] << j modulo 2^32 over j < window (a power of two), by doubling.
+
+    With all 32 terms this is h[i] = (h[i-1] << 1) + GEAR[data[i]].
+    """
     h = GEAR[data]
-    for k in (1, 2, 4, 8, 16):
+    k = 1
+    while k < window:
         if len(h) > k:
-            more = h[:-k] << np.uint32(k)
-            h[k:] += more
+            h[k:] += h[:-k] << np.uint32(k)
+        k *= 2
     return h
 
 
@@ -35,28 +39,22 @@ def mask_cuts(data: np.ndarray, bits: int) -> np.ndarray:
     return cuts[cuts >= WINDOW]
 
 
-def peak_cuts(data: np.ndarray, radius: int) -> np.ndarray:
-    """Chunk ends (exclusive) at positions whose hash is the single largest within ``radius`` on both sides.
+def peaks(data: np.ndarray, radius: int, window: int) -> np.ndarray:
+    """Positions whose hash is the single largest within ``radius`` on both sides.
 
-    A cut depends only on bytes near it, so an insertion moves no cut elsewhere; chunks have more than ``radius`` bytes.
-    Within the first WINDOW bytes and nearer than ``radius`` to the end there is none, and periodic text has none.
+    A peak depends on the bytes near it alone: those from ``radius + window - 1`` before to ``radius`` after it. So an
+    insertion moves no peak elsewhere, peaks lie more than ``radius`` apart, and periodic text has none.
     """
-    n = len(data)
-    if n < WINDOW + 2 * radius + 1:
+    n, size = len(data), 2 * radius + 1
+    if n < size:
         return np.empty(0, np.int64)
-    h = gear_hashes(data)
-    h[: WINDOW - 1] = 0
-    size = 2 * radius + 1
-    top = np.maximum(h[:-1], h[1:])  # running maximum over ``size`` by doubling
-    width = 2
-    while width * 2 <= size:
+    h = gear_hashes(data, window)
+    top, width = h, 1
+    while width * 2 <= size:  # running maximum over ``size`` by doubling
         top = np.maximum(top[:-width], top[width:])
         width *= 2
     if width < size:
-        top = np.maximum(top[: len(h) - size + 1], top[size - width :])
+        top = np.maximum(top[: n - size + 1], top[size - width :])
     at = np.flatnonzero(h[radius : n - radius] == top) + radius
-    at = at[(at >= WINDOW - 1) & (h[at] > 0)]
-    if len(at) > 1:  # equal maxima within reach of each other: neither is the single largest
-        near = np.diff(at) <= radius
-        at = at[~(np.r_[near, False] | np.r_[False, near])]
-    return at + 1
+    near = np.diff(at) <= radius  # equal maxima within reach of each other: neither is the single largest
+    return at[~(np.r_[near, False] | np.r_[False, near])] if len(at) else at

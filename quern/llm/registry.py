@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe_reuse, decontam, token_ids
+from quern.llm import bpe_reuse, decontam, simhash, substring, token_ids
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,3 +37,13 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_bpe_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_reuse.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_passages(table(spark, sf_dir, "documents"))
