@@ -175,6 +175,55 @@ def cut_words(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b" ".join(x for x in parts if x)
 
 
+def remove_leaks(docs: DataFrame, benchmark: DataFrame, *, min_items: int = 2, width: int = WIDTH, block_bytes: int = BLOCK_BYTES, length_col: str = "n_chars", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``docs`` without contaminated documents, and the others without the words that windows of one item cover.
+
+    Documents with windows of at least ``min_items`` items go. All columns stay; ``n_chars``, if present, counts anew where
+    a text was cut. Rows without hits, null texts among them, stay as they are. One narrow pass, no shuffle, unless the
+    benchmark has several blocks: each is then a pass of its own, and what an earlier pass found is kept in a column.
+    """
+    spark, names = docs.sparkSession, docs.columns
+    at, length_at = names.index("text"), names.index(length_col) if length_col in names else None
+    state = "__leaks"
+    out = docs.withColumn(state, F.lit(None).cast(T.StructType([T.StructField("spans", T.ArrayType(FOUND)), T.StructField("items", T.ArrayType(T.StringType()))])))
+    for block in list(blocks_of(benchmark, item_id, item_text, block_bytes)):
+        shared = spark.sparkContext.broadcast(block)  # bounded by block_bytes
+
+        def scan(batches, shared=shared, key=uuid.uuid4().hex):
+            scanner = per_worker(key, lambda: Scanner(shared.value, width))
+            for batch in steps(batches):
+                found = batch.column(len(names)).to_pylist()
+                for i, text in enumerate(text_bytes(batch)):
+                    spans, items = scanner.scan(words_of(text))
+                    if items:
+                        old = found[i] or {"spans": [], "items": []}
+                        spans = merged(sorted(spans + [(x["start"], x["end"]) for x in old["spans"]]))
+                        found[i] = {"spans": [{"start": a, "end": b} for a, b in spans], "items": sorted(items.union(old["items"]))}
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, batch.column(len(names)).type)], names=batch.schema.names)
+
+        out = out.mapInArrow(scan, out.schema)
+
+    def cut(batches):
+        for batch in steps(batches):
+            found = batch.column(len(names)).to_pylist()
+            columns = list(batch.columns[:-1])
+            if any(found):
+                texts = columns[at].to_pylist()
+                sizes = columns[length_at].to_pylist() if length_at is not None else None
+                for i, x in enumerate(found):
+                    if x:
+                        texts[i] = cut_words(texts[i].encode(), [(s["start"], s["end"]) for s in x["spans"]]).decode()
+                        if sizes:
+                            sizes[i] = len(texts[i])
+                columns[at] = pa.array(texts, columns[at].type)
+                if sizes:
+                    columns[length_at] = pa.array(sizes, columns[length_at].type)
+            clean = pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+            yield clean.filter(pa.array([not x or len(x["items"]) < min_items for x in found], pa.bool_()))
+
+    return out.mapInArrow(cut, docs.schema)
+
+
 def brute_force(docs: list[tuple[int, str | None]], benchmark: list[tuple[int, str | None]], width: int = WIDTH, min_items: int = 2) -> list[tuple]:
     """The report by direct search, for tests."""
     out = []

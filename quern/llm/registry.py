@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe_reuse, decontam, simhash, substring, token_ids
+from quern.llm import bpe_reuse, decontam, quality_pu, simhash, substring, token_ids
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,3 +47,9 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_pu.score(docs, quality_pu.train(docs, table(spark, sf_dir, "labels")))
