@@ -3,19 +3,18 @@
 from __future__ import annotations
 
 import gc
-import re
 from collections.abc import Callable
 from itertools import chain, repeat
 
 import numpy as np
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import CharDelimiterSplit
 
 from quern.llm.common import ragged
 
-#: A word and the ASCII punctuation that ends it. Both patterns in use start a new pre-token between the two.
-_WORD_END = re.compile(r"(.*[A-Za-zÀ-ÖØ-öø-ÿ])([!-&(-/:-@\[-`{-~]+)", re.DOTALL)
-#: Letters only, perhaps after a space: one pre-token under both patterns, and composed already.
-_LETTERS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: ASCII punctuation but the apostrophe. Both patterns in use start a new pre-token between a letter and a run of it, and
+#: take the run as one.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def load(path: str) -> Tokenizer:
@@ -36,41 +35,63 @@ def _byte_letters() -> dict[int, str]:
 class PieceTable:
     """Rows of token ids, found by key. ``text_of`` turns a key into the text that the library encodes.
 
-    Each piece is encoded by the library once while it is remembered; ``room`` forgets all when more than ``most`` are held,
-    so memory is bounded whatever the corpus holds. Runs of Latin letters, which are a single pre-token, go to the library's
-    bare model (``lower``: the tokenizer's normaliser lower-cases); all else goes through the whole tokenizer.
+    Each piece is encoded by the library once while it is remembered; when more than ``most`` are held, ``room`` forgets
+    those that were met only once, so memory is bounded whatever the corpus holds. Latin words, which are one pre-token and
+    composed already, go to the library's bare model, many at a time (``lower``: the tokenizer's normaliser lower-cases);
+    everything else goes through the whole tokenizer.
     """
 
     def __init__(self, tokenizer: Tokenizer, text_of: Callable[[bytes], str], most: int, *, lower: bool = False, decode: bool = False):
-        self.tokenizer, self.model, self.text_of, self.most, self.lower, self.decode = tokenizer, Tokenizer(tokenizer.model), text_of, most, lower, decode
+        self.tokenizer, self.text_of, self.most, self.lower, self.decode = tokenizer, text_of, most, lower, decode
+        self.model = Tokenizer(tokenizer.model)
+        self.model.pre_tokenizer = CharDelimiterSplit("\n")
         self.letters = _byte_letters()
+        vocab = tokenizer.get_vocab(with_added_tokens=True)
+        self.letters_of_id = np.zeros(max(vocab.values()) + 1, np.int64)
+        for token, n in vocab.items():
+            self.letters_of_id[n] = len(token.removesuffix("</w>"))
         self.forget()
 
     def forget(self) -> None:
         self.rows: dict[bytes, int] = {}
         self.starts = np.zeros(1 << 12, np.int64)
         self.sizes = np.zeros(1 << 12, np.int64)
-        self.flat = np.zeros(1 << 14, np.uint32)
+        self.uses = np.zeros(1 << 12, np.int64)
+        self.flat = np.zeros(1 << 14, np.uint16 if len(self.letters_of_id) <= 1 << 16 else np.uint32)
         self.used = 0
         self.decoded: list[bytes] = []
 
     def room(self) -> bool:
-        """False if everything was forgotten, so that row numbers kept elsewhere no longer hold."""
-        if len(self.rows) <= self.most:
+        """False if rows were forgotten and the others renumbered, so that row numbers kept elsewhere no longer hold."""
+        n = len(self.rows)
+        if n <= self.most:
             return True
+        kept = np.flatnonzero(self.uses[:n] > max(1, np.partition(self.uses[:n], n - self.most // 2)[n - self.most // 2]))
+        keys, decoded = list(self.rows), self.decoded
+        sizes, flat = self.ids(kept)
+        flat, uses = flat.astype(self.flat.dtype), self.uses[kept]
         self.forget()
+        self.add([keys[i] for i in kept.tolist()], sizes, flat)
+        self.uses[: len(kept)] = uses
+        self.decoded = [decoded[i] for i in kept.tolist()] if self.decode else []
         return False
 
     def library(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def words(self, texts: list[str]) -> list[list[int]]:
-        """Ids of pieces; runs of letters by the bare model."""
-        bare = list(map(bool, map(_LETTERS.fullmatch, texts)))
-        mapped = [(x.lower() if self.lower else x).encode().decode("latin-1").translate(self.letters) for x, ok in zip(texts, bare, strict=True) if ok]
-        short = iter(self.model.encode_batch_fast(mapped, add_special_tokens=False))
-        long = iter(self.library([x for x, ok in zip(texts, bare, strict=True) if not ok]))
-        return [next(short).ids if ok else next(long) for ok in bare]
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids per word, and all ids, of words of Latin letters with a space before them or none, by the bare model."""
+        if self.lower:
+            words = [x.lower() for x in words]
+        mapped = [x if x.isascii() else x.encode().decode("latin-1").translate(self.letters) for x in words]
+        line = "\n".join(mapped).replace(" ", "\u0120")
+        sizes = np.fromiter(map(len, mapped), np.int64, len(mapped))
+        ends = np.cumsum(sizes + 1) - 1
+        cuts = [0, *(ends[63:-1:64] + 1).tolist(), len(line)]
+        groups = [line[i:j] for i, j in zip(cuts, cuts[1:], strict=False)] if mapped else []
+        ids = np.fromiter(chain.from_iterable(x.ids for x in self.model.encode_batch_fast(groups, add_special_tokens=False)), np.int64)
+        stops = np.searchsorted(np.cumsum(self.letters_of_id[ids]), np.cumsum(sizes)) + 1
+        return np.diff(stops, prepend=0), ids
 
     def find(self, keys: list[bytes]) -> np.ndarray:
         """Row numbers of the keys; new ones are encoded and added."""
@@ -84,31 +105,53 @@ class PieceTable:
             finally:
                 if collecting:
                     gc.enable()
-            rows[at] = [self.rows[x] for x in lost]
+            rows[at] = np.fromiter(map(self.rows.__getitem__, lost), np.int64, len(lost))
+        self.uses[: len(self.rows)] += np.bincount(rows, minlength=len(self.rows))
         return rows
 
     def learn(self, keys: list[bytes]) -> None:
-        words = list(map(self.text_of, keys))
-        split = [m if "<|" not in w and (m := _WORD_END.fullmatch(w)) else None for w in words]
-        parts = list(dict.fromkeys(p for m, w in zip(split, words, strict=True) for p in (m.groups() if m else (w,))))
-        got = dict(zip(parts, self.words(parts), strict=True))
-        ids = [got[m[1]] + got[m[2]] if m else got[w] for m, w in zip(split, words, strict=True)]
+        """Each piece is a word and its marks, or else something that the whole tokenizer takes as it is."""
+        texts = list(map(self.text_of, keys))
+        cores = [x.rstrip(_MARKS) for x in texts]
+        bare = [x[1:] if x[:1] == " " else x for x in cores]
+        plain = [x.isalpha() and (x.isascii() or max(x) <= "ÿ") for x in bare]
+        words = {x: n for n, x in enumerate(dict.fromkeys(x for x, ok in zip(cores, plain, strict=True) if ok))}
+        tails = [x[len(y) :] if ok else "" for x, y, ok in zip(texts, cores, plain, strict=True)]
+        marks = {x: n for n, x in enumerate(dict.fromkeys(tails))}
+        others = self.library([x for x, ok in zip(texts, plain, strict=True) if not ok])
+        ends = self.library(list(marks))
+        word_sizes, word_ids = self.words(list(words))
+        end_sizes = np.fromiter(map(len, ends), np.int64, len(ends))
+        other_sizes = np.fromiter(map(len, others), np.int64, len(others))
+        source = np.concatenate([word_ids, *(np.fromiter(chain.from_iterable(x), np.int64) for x in (ends, others))]).astype(self.flat.dtype)
+        # every piece has two parts in ``source``: its word, or all of it, and its marks
+        plain = np.array(plain, bool)
+        part = np.zeros((2, 2, len(keys)), np.int64)
+        word = np.fromiter((words[x] for x, ok in zip(cores, plain.tolist(), strict=True) if ok), np.int64, int(plain.sum()))
+        part[0, 0, plain], part[1, 0, plain] = (np.cumsum(word_sizes) - word_sizes)[word], word_sizes[word]
+        part[0, 0, ~plain], part[1, 0, ~plain] = len(word_ids) + end_sizes.sum() + np.cumsum(other_sizes) - other_sizes, other_sizes
+        mark = np.fromiter(map(marks.__getitem__, tails), np.int64, len(keys))
+        part[0, 1], part[1, 1] = len(word_ids) + (np.cumsum(end_sizes) - end_sizes)[mark], end_sizes[mark]
+        sizes = part[1].sum(0)
+        flat = source[ragged(part[0].T.ravel(), part[1].T.ravel())]
+        self.add(keys, sizes, flat)
+        if self.decode:
+            own, stops = flat.tolist(), np.cumsum(sizes).tolist()
+            self.decoded += map(str.encode, self.tokenizer.decode_batch([own[a:b] for a, b in zip([0, *stops], stops, strict=False)], skip_special_tokens=False))
+
+    def add(self, keys: list[bytes], sizes: np.ndarray, flat: np.ndarray) -> None:
         first, n = len(self.rows), len(keys)
-        sizes = np.fromiter(map(len, ids), np.int64, n)
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
         while first + n > len(self.starts):
-            self.starts, self.sizes = np.concatenate((self.starts, self.starts)), np.concatenate((self.sizes, self.sizes))
+            self.starts, self.sizes, self.uses = (np.concatenate((x, np.zeros_like(x))) for x in (self.starts, self.sizes, self.uses))
         while self.used + len(flat) > len(self.flat):
-            self.flat = np.concatenate((self.flat, self.flat))
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
         self.starts[first : first + n] = self.used + np.cumsum(sizes) - sizes
         self.sizes[first : first + n] = sizes
         self.flat[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
         self.rows.update(zip(keys, range(first, first + n), strict=True))
-        if self.decode:
-            self.decoded += map(str.encode, self.tokenizer.decode_batch(ids, skip_special_tokens=False))
 
     def ids(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids per row, and the ids of all rows one after the other."""
         sizes = self.sizes[rows]
-        return sizes, self.flat[ragged(self.starts[rows], sizes)]
+        return sizes, self.flat[ragged(self.starts[rows], sizes)].astype(np.uint32)

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import shared_path, steps, text_bytes
@@ -137,7 +137,7 @@ def encoder(path: str) -> TextEncoder:
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, out_dir: str, *, end_id: int = 2, file_values: int = FILE_VALUES, partitions: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes the files and returns their manifest ``part, seq, path, n_docs, n_values`` (itself a table in ``out_dir``).
+    """Writes the files and returns their manifest ``part, seq, path, n_docs, n_values, before`` (itself a table in ``out_dir``).
 
     Documents are range-partitioned and sorted by id, so part and seq order the files. File names are unique to a task
     attempt and only what a finished task reported is in the manifest: files of lost or repeated attempts are ignored.
@@ -151,14 +151,14 @@ def write_token_files(docs: DataFrame, tokenizer: str, out_dir: str, *, end_id:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, seq = encoder(tokenizer), TaskContext.get().partitionId(), 0
         store, folder = pafs.FileSystem.from_uri(out_dir)
-        ids, counts, flats, held = [], [], [], 0
+        ids, counts, flats, held, before = [], [], [], 0, 0
 
         def close() -> pa.RecordBatch:
             path = f"{folder}/part-{part:06d}-{seq:05d}-{uuid.uuid4().hex}.qtok"
             lengths = np.concatenate(counts)
             with store.open_output_stream(path) as out:
                 out.write(encode_file(np.concatenate(ids), lengths, np.concatenate(flats)))
-            return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "path": [path], "n_docs": [len(lengths)], "n_values": [held]}, schema=_MANIFEST)
+            return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "path": [path], "n_docs": [len(lengths)], "n_values": [held], "before": [before]}, schema=_MANIFEST)
 
         for batch in steps(batches):
             sizes, flat = encode(text_bytes(batch))
@@ -169,19 +169,19 @@ def write_token_files(docs: DataFrame, tokenizer: str, out_dir: str, *, end_id:
             held += len(flats[-1])
             if held >= file_values:
                 yield close()
-                ids, counts, flats, held, seq = [], [], [], 0, seq + 1
+                ids, counts, flats, held, seq, before = [], [], [], 0, seq + 1, before + held
         if ids:
             yield close()
 
     store, folder = pafs.FileSystem.from_uri(out_dir)
     store.create_dir(folder)
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    done = chosen.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(write, "part int, seq int, path string, n_docs long, n_values long")
+    done = chosen.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(write, "part int, seq int, path string, n_docs long, n_values long, before long")
     done.write.parquet(f"{out_dir}/manifest")
     return docs.sparkSession.read.schema(done.schema).parquet(f"{out_dir}/manifest")
 
 
-_MANIFEST = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_values", pa.int64())])
+_MANIFEST = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_values", pa.int64()), ("before", pa.int64())])
 _READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.list_(pa.uint32()))])
 
 
@@ -211,8 +211,7 @@ def read_token_files(manifest: DataFrame, out_dir: str, *, with_ids: bool = Fals
                     columns.append(pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(data)).cast(pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(columns, names=_READ.names[: len(columns)])
 
-    before = F.sum("n_values").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
-    files = manifest.withColumn("before", F.coalesce(before, F.lit(0)))
+    files = manifest.repartition(max(1, min(manifest.count(), int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
     return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else ""))
 
 
