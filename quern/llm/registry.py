@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe_reuse, chat_prefix, decontam, quality_pu, simhash, substring, token_ids, toxicity_fm
+from quern.llm import audio_media, bpe_reuse, chat_prefix, decontam, quality_pu, simhash, substring, token_ids, toxicity_fm
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -97,3 +97,8 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 """
+
+
+@query
+def op7_audio_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio_media.describe(audio_media.store(table(spark, sf_dir, "documents")))
