@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import audio_media, bpe_reuse, chat_prefix, decontam, quality_pu, simhash, substring, token_ids, toxicity_fm
+from quern.llm import audio_media, bpe_reuse, chat_prefix, decontam, lm_mixing, quality_pu, simhash, substring, token_ids, toxicity_fm
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -102,3 +102,8 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 @query
 def op7_audio_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio_media.describe(audio_media.store(table(spark, sf_dir, "documents")))
+
+
+@query
+def op2_lm_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_mixing.score(table(spark, sf_dir, "documents"))
