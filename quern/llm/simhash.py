@@ -187,6 +187,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, distance: int =
     smallest = member.join(distinct, "fp").groupBy("root").agg(F.min("first").alias("smallest"))
     linked = member.join(smallest, "root").select("fp", "smallest")
     named = distinct.join(linked, "fp", "left").select("fp", F.coalesce("smallest", "first").alias("component_id"))
+    # written, so that the join below shuffles both sides by fp itself and a fingerprint with very many copies can be split
+    named = written(named, "named")
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
