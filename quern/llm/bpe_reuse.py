@@ -11,21 +11,20 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import steps, text_bytes
+from quern.llm.common import per_worker, steps, text_bytes
 from quern.llm.gear import WINDOW, mask_cuts
 from quern.llm.pieces import PieceTable, load
 
 #: Leading zero bits at a cut: chunks have 2^BITS bytes on average.
 BITS = 9
 #: Pieces and chunks that a worker remembers at most.
-MOST_PIECES, MOST_CHUNKS = 600_000, 30_000
+MOST_PIECES, MOST_CHUNKS = 150_000, 8_000
 
 #: ASCII white space as ``bytes.split`` takes it.
 _WHITE = frozenset(b" \t\n\r\x0b\x0c")
@@ -107,10 +106,9 @@ class ChunkEncoder:
             yield ids, b" ".join(map(self.table.decoded.__getitem__, kept.tolist()))
 
 
-@lru_cache(maxsize=2)
 def chunk_encoder(path: str) -> ChunkEncoder:
     """One per worker process."""
-    return ChunkEncoder(path)
+    return per_worker(f"words:{path}", lambda: ChunkEncoder(path))
 
 
 def encode_decode(docs: DataFrame, tokenizer: str, *, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -122,7 +120,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, *, with_ids: bool = False, id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = chunk_encoder(tokenizer)
-        for batch in steps(batches):
+        for batch in steps(batches, keep=f"words:{tokenizer}"):
             n, ids_hash, text_hash, ids, decoded = [], [], [], [], []
             for own, text in encode(text_bytes(batch)):
                 n.append(len(own))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +16,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 #: Bytes of text that one vectorised step holds at most (a single longer text is one step of its own).
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,6 +31,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Lets no Arrow batch grow beyond ``most`` bytes, as ten thousand long texts would; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(key, None)
+    if held is None or not held.rstrip("b").isdigit() or not 0 < int(held.rstrip("b")) <= most:
+        spark.conf.set(key, str(most))
+
+
 def shared_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/quern-{tag}-{uuid.uuid4().hex}"
 
@@ -47,8 +61,14 @@ def text_bytes(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
-def steps(batches: Iterator[pa.RecordBatch], name: str = "text", budget: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with at most ``budget`` bytes of text each, or one row."""
+def steps(batches: Iterator[pa.RecordBatch], name: str = "text", budget: int = STEP_BYTES, keep: str = "") -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with at most ``budget`` bytes of text each, or one row.
+
+    What ``per_worker`` made under other keys than ``keep`` goes first: workers outlive operators, their memory is bounded.
+    """
+    for key in [x for x in _made if x != keep]:
+        del _made[key]
+    give_back()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -74,13 +94,18 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+def give_back() -> None:
+    """Returns memory that this process has freed to the system, where the C library can: workers outlive tasks."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 _made: dict[str, object] = {}
 
 
-def per_worker(key: str, make, most: int = 4):
-    """``make()``, kept by the worker process under a key that the driver drew; the oldest of more than ``most`` goes."""
+def per_worker(key: str, make: Callable[[], T]) -> T:
+    """``make()``, kept by the worker process under a key until a task of another operator runs there."""
     if key not in _made:
-        while len(_made) >= most:
-            del _made[next(iter(_made))]
         _made[key] = make()
     return _made[key]

@@ -132,7 +132,7 @@ def find_leaks(
 
         def scan(batches, shared=shared, key=uuid.uuid4().hex, with_text=keep_text or n < len(blocks) - 1):
             scanner = per_worker(key, lambda: Scanner(shared.value, width))
-            for batch in steps(batches):
+            for batch in steps(batches, keep=key):
                 n_words, spans, items = [], [], []
                 for text, old, names in zip(text_bytes(batch), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
                     words = words_of(text)
@@ -191,7 +191,7 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, *, min_items: int = 2, w
 
         def scan(batches, shared=shared, key=uuid.uuid4().hex):
             scanner = per_worker(key, lambda: Scanner(shared.value, width))
-            for batch in steps(batches):
+            for batch in steps(batches, keep=key):
                 found = batch.column(len(names)).to_pylist()
                 for i, text in enumerate(text_bytes(batch)):
                     spans, items = scanner.scan(words_of(text))

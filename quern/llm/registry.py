@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quern.llm import audio_media, bpe_reuse, chat_prefix, decontam, lm_mixing, quality_pu, simhash, substring, token_ids, toxicity_fm
+from quern.llm.common import small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +23,7 @@ def query(f: Query) -> Query:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -46,7 +49,9 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.repeated_passages(table(spark, sf_dir, "documents"))
+    found = substring.repeated_passages(table(spark, sf_dir, "documents"))
+    spans = lambda name: F.array_join(F.transform(name, lambda x: F.concat_ws("-", x["start"].cast("string"), x["stop"].cast("string"))), " ")
+    return found.select("doc_id", "repeated_bytes", "removed_bytes", spans("repeats").alias("repeats"), spans("removed").alias("removed"))
 
 
 @query

@@ -14,7 +14,6 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import shared_path, steps, text_bytes
+from quern.llm.common import per_worker, shared_path, steps, text_bytes
 from quern.llm.pieces import PieceTable, load
 
 MAGIC = b"QTOK1\0"
@@ -130,10 +129,9 @@ class TextEncoder:
         return np.array([len(x) for x in parts], np.int64), np.concatenate(parts)
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> TextEncoder:
     """One per worker process."""
-    return TextEncoder(path)
+    return per_worker(f"bytes:{path}", lambda: TextEncoder(path))
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, out_dir: str, *, end_id: int = 2, file_values: int = FILE_VALUES, partitions: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -160,7 +158,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, out_dir: str, *, end_id:
                 out.write(encode_file(np.concatenate(ids), lengths, np.concatenate(flats)))
             return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "path": [path], "n_docs": [len(lengths)], "n_values": [held], "before": [before]}, schema=_MANIFEST)
 
-        for batch in steps(batches):
+        for batch in steps(batches, keep=f"bytes:{tokenizer}"):
             sizes, flat = encode(text_bytes(batch))
             ends = np.cumsum(sizes)
             ids.append(np.array([least if x is None else x for x in batch.column(0).to_pylist()], np.int64))

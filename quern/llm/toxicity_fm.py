@@ -171,7 +171,7 @@ def score(docs: DataFrame, model: Model, *, threshold: float = 0.3) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch], key: str = uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
         scorer = per_worker(key, lambda: Scorer(shared.value))
-        for batch in steps(batches):
+        for batch in steps(batches, keep=key):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scorer.model([scorer.rows(x) for x in text_bytes(batch)]))], names=["doc_id", "score"])
 
     kind = dict(docs.dtypes)["doc_id"]
