@@ -71,3 +71,22 @@ def test_tensors_on_disk(spark, tmp_path):
     spans = table.select(["doc_id", "tile", "start_ms", "end_ms"]).to_pylist()
     assert spans[-1]["doc_id"] == 2 and spans[0]["start_ms"] == 0 and spans[1]["start_ms"] == spans[0]["end_ms"]
     assert abs(spans[-2]["end_ms"] - 30016 / 16) < 30
+
+
+def test_features_are_derived_from_stored_tensors(spark, tmp_path, monkeypatch):
+    texts = [None, "", "hello", "hello", "z" * 30000, "é line\n" * 4000]
+    docs = spark.createDataFrame([(i if i != 3 else None, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(2)
+    folder = f"file://{tmp_path}/tensors"
+    monkeypatch.setattr(am, "shared_path", lambda session, tag: folder)
+    media = am.store(docs)
+    described = am.describe(media)
+    want = {r.media_sha256: am.analyse(bytes(r.media)).summary() for r in media.selectExpr("sha2(media, 256) AS media_sha256", "media").collect()}
+    assert {r.media_sha256: r.feature for r in described.collect()} == want
+    stored = pa.concat_tables([pq.read_table(f) for f in (tmp_path / "tensors").glob("*.parquet")])
+    assert isinstance(stored.schema.field("mels").type, pa.FixedShapeTensorType)
+    assert stored.num_rows == sum(len(am.analyse(bytes(r.media)).tiles()) for r in media.collect())
+    for f in (tmp_path / "tensors").glob("*.parquet"):  # other tensors give other features
+        t = pq.read_table(f)
+        lower = pa.FixedShapeTensorArray.from_numpy_ndarray(t["mels"].combine_chunks().to_numpy_ndarray() - 7)
+        pq.write_table(t.set_column(t.schema.get_field_index("mels"), "mels", lower), f)
+    assert all(r.feature != want[r.media_sha256] for r in described.collect())
