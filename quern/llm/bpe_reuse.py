@@ -34,7 +34,7 @@ class ChunkEncoder:
     """Encodes and decodes texts for one tokenizer file; it must lower-case and drop white space, as word-end BPE does."""
 
     def __init__(self, path: str, most_pieces: int = MOST_PIECES, most_chunks: int = MOST_CHUNKS, bits: int = BITS):
-        self.table = PieceTable(load(path), bytes.decode, most_pieces, lower=True, decode=True)
+        self.table = PieceTable(load(path), most_pieces, lower=True, decode=True)
         self.most_chunks, self.bits = most_chunks, bits
         self.chunks: dict[bytes, list] = {}
         self.reused = 0

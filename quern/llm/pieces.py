@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import gc
-from collections.abc import Callable
 from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import CharDelimiterSplit
 
@@ -33,7 +33,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 class PieceTable:
-    """Rows of token ids, found by key. ``text_of`` turns a key into the text that the library encodes.
+    """Rows of token ids, found by the bytes of a piece.
 
     Each piece is encoded by the library once while it is remembered; when more than ``most`` are held, ``room`` forgets
     those that were met only once, so memory is bounded whatever the corpus holds. Latin words, which are one pre-token and
@@ -41,8 +41,8 @@ class PieceTable:
     everything else goes through the whole tokenizer.
     """
 
-    def __init__(self, tokenizer: Tokenizer, text_of: Callable[[bytes], str], most: int, *, lower: bool = False, decode: bool = False):
-        self.tokenizer, self.text_of, self.most, self.lower, self.decode = tokenizer, text_of, most, lower, decode
+    def __init__(self, tokenizer: Tokenizer, most: int, *, lower: bool = False, decode: bool = False):
+        self.tokenizer, self.most, self.lower, self.decode = tokenizer, most, lower, decode
         self.model = Tokenizer(tokenizer.model)
         self.model.pre_tokenizer = CharDelimiterSplit("\n")
         self.letters = _byte_letters()
@@ -93,45 +93,51 @@ class PieceTable:
         stops = np.searchsorted(np.cumsum(self.letters_of_id[ids]), np.cumsum(sizes)) + 1
         return np.diff(stops, prepend=0), ids
 
-    def find(self, keys: list[bytes]) -> np.ndarray:
-        """Row numbers of the keys; new ones are encoded and added."""
+    def find(self, pieces: pa.Array | list[bytes]) -> np.ndarray:
+        """Row numbers of the pieces; new ones are encoded and added. Python meets each distinct one of them once."""
+        met = (pieces if isinstance(pieces, pa.Array) else pa.array(pieces, pa.binary())).dictionary_encode()
+        keys, at = met.dictionary.to_numpy(zero_copy_only=False).tolist(), met.indices.to_numpy()
         rows = np.fromiter(map(self.rows.get, keys, repeat(-1)), np.int64, len(keys))
-        if len(at := np.flatnonzero(rows < 0)):
-            lost = [keys[i] for i in at.tolist()]
+        if len(lost := np.flatnonzero(rows < 0)):
+            first = len(self.rows)
             collecting = gc.isenabled()
             gc.disable()  # many small lists and no cycles: walking all of them again and again costs more than encoding
             try:
-                self.learn(list(dict.fromkeys(lost)))
+                self.learn([keys[i] for i in lost.tolist()])
             finally:
                 if collecting:
                     gc.enable()
-            rows[at] = np.fromiter(map(self.rows.__getitem__, lost), np.int64, len(lost))
-        self.uses[: len(self.rows)] += np.bincount(rows, minlength=len(self.rows))
-        return rows
+            rows[lost] = np.arange(first, first + len(lost))
+        self.uses[rows] += np.bincount(at, minlength=len(rows))
+        return rows[at]
 
     def learn(self, keys: list[bytes]) -> None:
-        """Each piece is a word and its marks, or else something that the whole tokenizer takes as it is."""
-        texts = list(map(self.text_of, keys))
+        """Each piece is a line feed or none, a word and its marks, or else something that the whole tokenizer takes as it is."""
+        texts = list(map(bytes.decode, keys))
+        fed = [x[:1] == "\n" and not x[1:2].isspace() and len(x) > 1 for x in texts]
+        if any(fed):
+            texts = [x[1:] if ok else x for x, ok in zip(texts, fed, strict=True)]
         cores = [x.rstrip(_MARKS) for x in texts]
         bare = [x[1:] if x[:1] == " " else x for x in cores]
         plain = [x.isalpha() and (x.isascii() or max(x) <= "ÿ") for x in bare]
         words = {x: n for n, x in enumerate(dict.fromkeys(x for x, ok in zip(cores, plain, strict=True) if ok))}
         tails = [x[len(y) :] if ok else "" for x, y, ok in zip(texts, cores, plain, strict=True)]
-        marks = {x: n for n, x in enumerate(dict.fromkeys(tails))}
+        marks = {x: n for n, x in enumerate(dict.fromkeys(chain(("", "\n"), tails)))}
         others = self.library([x for x, ok in zip(texts, plain, strict=True) if not ok])
         ends = self.library(list(marks))
         word_sizes, word_ids = self.words(list(words))
         end_sizes = np.fromiter(map(len, ends), np.int64, len(ends))
         other_sizes = np.fromiter(map(len, others), np.int64, len(others))
         source = np.concatenate([word_ids, *(np.fromiter(chain.from_iterable(x), np.int64) for x in (ends, others))]).astype(self.flat.dtype)
-        # every piece has two parts in ``source``: its word, or all of it, and its marks
+        # every piece has three parts in ``source``: its line feed, its word, or all of it, and its marks
         plain = np.array(plain, bool)
-        part = np.zeros((2, 2, len(keys)), np.int64)
+        part = np.zeros((2, 3, len(keys)), np.int64)
         word = np.fromiter((words[x] for x, ok in zip(cores, plain.tolist(), strict=True) if ok), np.int64, int(plain.sum()))
-        part[0, 0, plain], part[1, 0, plain] = (np.cumsum(word_sizes) - word_sizes)[word], word_sizes[word]
-        part[0, 0, ~plain], part[1, 0, ~plain] = len(word_ids) + end_sizes.sum() + np.cumsum(other_sizes) - other_sizes, other_sizes
-        mark = np.fromiter(map(marks.__getitem__, tails), np.int64, len(keys))
-        part[0, 1], part[1, 1] = len(word_ids) + (np.cumsum(end_sizes) - end_sizes)[mark], end_sizes[mark]
+        part[0, 1, plain], part[1, 1, plain] = (np.cumsum(word_sizes) - word_sizes)[word], word_sizes[word]
+        part[0, 1, ~plain], part[1, 1, ~plain] = len(word_ids) + end_sizes.sum() + np.cumsum(other_sizes) - other_sizes, other_sizes
+        end_first = len(word_ids) + np.cumsum(end_sizes) - end_sizes
+        for n, mark in ((0, np.array(fed, np.int64)), (2, np.fromiter(map(marks.__getitem__, tails), np.int64, len(keys)))):
+            part[0, n], part[1, n] = end_first[mark], end_sizes[mark]
         sizes = part[1].sum(0)
         flat = source[ragged(part[0].T.ravel(), part[1].T.ravel())]
         self.add(keys, sizes, flat)

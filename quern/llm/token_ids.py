@@ -4,8 +4,9 @@ A file holds documents in ascending doc_id order. Its ids are renumbered by thei
 is in the header), so frequent ids take one byte; each value takes 1 to 4 data bytes and a 2-bit length in the control
 bytes, four lengths a byte. Decoding looks the control bytes up in a 256-row numpy table and gathers all values at once.
 
-Layout, little-endian: magic ``QTOK1\\0``; int64 counts of documents, values and table entries; the rank table (uint32
-ids); doc ids (int64); values per document (int64); control bytes; data bytes.
+Layout, little-endian: magic ``QTOK1`` and a byte that is 1 if there are documents without an id, which come first; int64
+counts of documents, values and table entries, and in that case of those documents; the rank table (uint32 ids); doc ids
+(int64); values per document (int64); control bytes; data bytes.
 """
 
 from __future__ import annotations
@@ -25,9 +26,11 @@ from pyspark.sql import functions as F
 from quern.llm.common import per_worker, shared_path, steps, text_bytes
 from quern.llm.pieces import PieceTable, load
 
-MAGIC = b"QTOK1\0"
+MAGIC = b"QTOK1"
 #: Values after which a file is closed, whatever its partition still holds.
 FILE_VALUES = 4 << 20
+#: Bytes of text that are encoded at a time: more of them share the cost of looking distinct pieces up.
+STEP = 4 << 20
 
 #: How many data bytes the four values of a control byte take.
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
@@ -52,22 +55,22 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return raw.view("<u4").ravel()
 
 
-def encode_file(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> bytes:
-    """A whole file from the ids of its documents, one after the other."""
+def encode_file(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, unnamed: int = 0) -> bytes:
+    """A whole file from the ids of its documents, one after the other; the first ``unnamed`` documents have no doc id."""
     often = np.bincount(ids) if len(ids) else np.zeros(0, np.int64)
     table = np.argsort(-often, kind="stable")[: np.count_nonzero(often)]
     rank = np.zeros(len(often), np.uint32)
     rank[table] = np.arange(len(table), dtype=np.uint32)
     control, data = pack(rank[ids] if len(ids) else np.zeros(0, np.uint32))
-    head = np.array([len(doc_ids), len(ids), len(table)], "<i8").tobytes()
-    return b"".join((MAGIC, head, table.astype("<u4").tobytes(), doc_ids.astype("<i8").tobytes(), counts.astype("<i8").tobytes(), control, data))
+    head = np.array([len(doc_ids), len(ids), len(table), *[unnamed] * (unnamed > 0)], "<i8").tobytes()
+    return b"".join((MAGIC, bytes([unnamed > 0]), head, table.astype("<u4").tobytes(), doc_ids.astype("<i8").tobytes(), counts.astype("<i8").tobytes(), control, data))
 
 
-def decode_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def decode_file(data: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """doc ids, values per document and all ids of a file."""
     if data[: len(MAGIC)] != MAGIC:
         raise ValueError("not a token-id file")
-    at = len(MAGIC)
+    at = len(MAGIC) + 1
 
     def take(kind: str, n: int) -> np.ndarray:
         nonlocal at
@@ -75,10 +78,11 @@ def decode_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at += part.nbytes
         return part
 
-    n_docs, n_values, n_table = (int(x) for x in take("<i8", 3))
+    n_docs, n_values, n_table, unnamed = (*(int(x) for x in take("<i8", 3 + data[at - 1])), 0)[:4]
     table, doc_ids, counts = take("<u4", n_table), take("<i8", n_docs), take("<i8", n_docs)
     control = take("u1", -(-n_values // 4)).tobytes()
-    return doc_ids, counts, table[unpack(control, data[at:], n_values)] if n_values else np.empty(0, np.uint32)
+    named = pa.array(doc_ids, pa.int64(), mask=np.arange(n_docs) < unnamed)
+    return named, counts, table[unpack(control, data[at:], n_values)] if n_values else np.empty(0, np.uint32)
 
 
 #: White space beyond the space that a split on spaces could meet next to one: ASCII bytes, and the UTF-8 of others.
@@ -96,32 +100,40 @@ def odd(text: bytes) -> bool:
     return any(x in text for x in _OTHER) and bool(_NEAR_OTHER.search(text))
 
 
+#: Bytes beside a line feed that are surely no white space: ASCII that prints, and after it the first byte of U+00C0 to U+00FF.
+_PRINTS = np.isin(np.arange(256), range(33, 127))
+_GOES_ON = _PRINTS | (np.arange(256) == 0xC3)
+
+
 class TextEncoder:
     """Exact ids of whole texts under a byte-level tokenizer.
 
-    Its pattern always starts a new pre-token at a space between two characters that are no white space, so pieces cut
-    there have the ids they have inside the text. Texts with other white space beside a space go to the library whole.
+    Its pattern always starts a new pre-token at a space or a line feed between two characters that are no white space, so
+    pieces cut before these have the ids they have inside the text. Texts with other white space beside a space go to the
+    library whole; line feeds beside white space stay inside a piece.
     """
 
     def __init__(self, path: str, most: int = 600_000):
-        # a key is the piece after a space, or a line feed and the piece that begins a text
-        self.table = PieceTable(load(path), lambda key: key[1:].decode() if key[:1] == b"\n" else " " + key.decode(), most)
+        self.table = PieceTable(load(path), most)
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids per text, and all ids one after the other."""
         self.table.room()
         edged = [x[:1] == b" " or x[-1:] == b" " for x in texts]
         plain = [True] * len(texts) if not (any(edged) or odd(b"\n".join(texts))) else [not (e or odd(x)) for e, x in zip(edged, texts, strict=True)]
-        keys: list[bytes] = []
-        counts = np.zeros(len(texts), np.int64)
-        for i, (text, ok) in enumerate(zip(texts, plain, strict=True)):
-            if ok and text:
-                own = text.split(b" ")
-                own[0] = b"\n" + own[0]
-                counts[i] = len(own)
-                keys += own
-        sizes, flat = self.table.ids(self.table.find(keys))
-        totals = np.diff(np.r_[0, np.cumsum(sizes)][np.cumsum(counts)], prepend=0)
+        own = [x if ok else b"" for x, ok in zip(texts, plain, strict=True)]
+        bounds = np.r_[0, np.cumsum(np.fromiter(map(len, own), np.int64, len(own)))]
+        text = b"".join(own)
+        data = np.frombuffer(text, np.uint8)
+        begins = data == 32
+        fed = np.flatnonzero(data[1:-1] == 10) + 1
+        begins[fed[_PRINTS[data[fed - 1]] & _GOES_ON[data[fed + 1]]]] = True
+        begins[bounds[:-1][bounds[1:] > bounds[:-1]]] = True
+        starts = np.flatnonzero(begins)
+        # the pieces lie side by side: only their offsets are made
+        pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(np.r_[starts, len(data)].astype(np.int32)), pa.py_buffer(text)])
+        sizes, flat = self.table.ids(self.table.find(pieces))
+        totals = np.diff(np.r_[0, np.cumsum(sizes)][np.searchsorted(starts, bounds)])
         if all(plain):
             return totals, flat
         whole = iter(self.table.library([x.decode() for x, ok in zip(texts, plain, strict=True) if not ok]))
@@ -140,41 +152,42 @@ def write_token_files(docs: DataFrame, tokenizer: str, out_dir: str, *, end_id:
     Documents are range-partitioned and sorted by id, so part and seq order the files. File names are unique to a task
     attempt and only what a finished task reported is in the manifest: files of lost or repeated attempts are ignored.
     ``out_dir`` must be a folder that executors share and pyarrow opens. Null and empty texts give the end id alone; a null
-    id sorts first and is stored as the least int64; repeated ids stand next to each other by text; an empty table writes
+    id sorts first; repeated ids stand next to each other by their text's digest; an empty table writes
     no file. Only the id and text columns are read.
     """
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    least = -(2**63)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, seq = encoder(tokenizer), TaskContext.get().partitionId(), 0
         store, folder = pafs.FileSystem.from_uri(out_dir)
-        ids, counts, flats, held, before = [], [], [], 0, 0
+        ids, counts, flats, held, before, unnamed = [], [], [], 0, 0, 0
 
         def close() -> pa.RecordBatch:
             path = f"{folder}/part-{part:06d}-{seq:05d}-{uuid.uuid4().hex}.qtok"
             lengths = np.concatenate(counts)
             with store.open_output_stream(path) as out:
-                out.write(encode_file(np.concatenate(ids), lengths, np.concatenate(flats)))
+                out.write(encode_file(np.concatenate(ids), lengths, np.concatenate(flats), unnamed))
             return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "path": [path], "n_docs": [len(lengths)], "n_values": [held], "before": [before]}, schema=_MANIFEST)
 
-        for batch in steps(batches, keep=f"bytes:{tokenizer}"):
+        for batch in steps(batches, budget=STEP, keep=f"bytes:{tokenizer}"):
             sizes, flat = encode(text_bytes(batch))
             ends = np.cumsum(sizes)
-            ids.append(np.array([least if x is None else x for x in batch.column(0).to_pylist()], np.int64))
+            ids.append(batch.column(0).fill_null(0).to_numpy())
+            unnamed += batch.column(0).null_count
             counts.append(sizes + 1)
             flats.append(np.insert(flat, ends, end_id))
             held += len(flats[-1])
             if held >= file_values:
                 yield close()
-                ids, counts, flats, held, seq, before = [], [], [], 0, seq + 1, before + held
+                ids, counts, flats, held, seq, before, unnamed = [], [], [], 0, seq + 1, before + held, 0
         if ids:
             yield close()
 
     store, folder = pafs.FileSystem.from_uri(out_dir)
     store.create_dir(folder)
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    done = chosen.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(write, "part int, seq int, path string, n_docs long, n_values long, before long")
+    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("digest"))
+    dealt = chosen.repartitionByRange(n, "doc_id", "digest").sortWithinPartitions("doc_id", "digest", "text")  # one id may fill many parts
+    done = dealt.mapInArrow(write, "part int, seq int, path string, n_docs long, n_values long, before long")
     done.write.parquet(f"{out_dir}/manifest")
     return docs.sparkSession.read.schema(done.schema).parquet(f"{out_dir}/manifest")
 
@@ -192,7 +205,6 @@ def read_token_files(manifest: DataFrame, out_dir: str, *, with_ids: bool = Fals
     begins, at = {}, 0
     for part in sorted(totals):
         begins[part], at = at, at + totals[part]
-    least = -(2**63)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = pafs.FileSystem.from_uri(out_dir)
@@ -204,7 +216,7 @@ def read_token_files(manifest: DataFrame, out_dir: str, *, with_ids: bool = Fals
                 data = flat.astype("<u4", copy=False)
                 starts = begins[row["part"]] + row["before"] + ends - counts
                 crcs = [zlib.crc32(data[e - c : e]) for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
-                columns = [pa.array([None if x == least else x for x in ids.tolist()], pa.int64()), pa.array(starts), pa.array(counts), pa.array(crcs, pa.int64())]
+                columns = [ids, pa.array(starts), pa.array(counts), pa.array(crcs, pa.int64())]
                 if with_ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(data)).cast(pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(columns, names=_READ.names[: len(columns)])

@@ -53,6 +53,18 @@ def test_pieces_give_the_librarys_ids(byte_library):
         same_ids(encode, byte_library, [x])
 
 
+def test_line_feeds_between_words(byte_library):
+    encode = token_ids.TextEncoder(BYTES)
+    same_ids(encode, byte_library, ["a b.\nC d", "\na", "a\n", "a\n\nb", "a\n\n\nb", "a\n b", "a \nb", "é\né x\nÉ.\n", "\n", "\n\n", "a.\n\u2003b", "x\n'll y\n's", "1\n2\n\t3", "a\r\nb c", "", "a\u00a0\nb"])
+
+
+def test_null_ids_and_the_least_id_stay_apart(spark):
+    rows = [(None, "a"), (-(2**63), "b c"), (None, None), (5, "b\nc")]
+    found = token_ids.token_files(spark.createDataFrame(rows, "doc_id long, text string"), BYTES).orderBy("start").collect()
+    assert [r["doc_id"] for r in found] == [None, None, -(2**63), 5]
+    assert [r["n_tokens"] for r in found] == [1, 2, 3, 4]
+
+
 def test_chunks_give_the_librarys_ids_and_text(word_library):
     encode = bpe_reuse.ChunkEncoder(WORDS, most_pieces=300, most_chunks=50, bits=4)
     same_round(encode, word_library, texts(3))
