@@ -67,25 +67,26 @@ def digests(text: bytes, cuts: np.ndarray) -> list[int]:
 FIRST, FIRST_REPEATED, REPEAT = 0, 1, 2
 
 
-def settle(digest: np.ndarray, doc: np.ndarray, start: np.ndarray, state: np.ndarray) -> np.ndarray:
-    """New states of chunk occurrences sorted by digest, document and place. Rows of one same place count once."""
+def settle(digest: np.ndarray, doc: np.ndarray, version: np.ndarray, start: np.ndarray, state: np.ndarray) -> np.ndarray:
+    """New states of chunk occurrences sorted by digest, document, version and place. Rows of one same place count once."""
     if not len(digest):
         return state
     fresh = np.r_[True, digest[1:] != digest[:-1]]
     first = np.flatnonzero(fresh)
     group = np.cumsum(fresh) - 1
-    later = (doc != doc[first[group]]) | (start != start[first[group]])
+    later = (doc != doc[first[group]]) | (version != version[first[group]]) | (start != start[first[group]])
     repeated = np.maximum.reduceat(np.where(later, REPEAT, state), first) > FIRST
     return np.where(later, REPEAT, np.where(repeated[group], FIRST_REPEATED, FIRST))
 
 
-_OCCURRENCE = ["key", "digest", "doc_id", "start", "stop", "state"]
+_OCCURRENCE = ["key", "digest", "doc_id", "version", "start", "stop", "state"]
 
 
 def repeated_chunks(docs: DataFrame, *, radius: int = RADIUS, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, start, stop, digest, state`` of every chunk that occurs at two places or more (byte offsets).
+    """``doc_id, version, start, stop, digest, state`` of every chunk that occurs at two places or more (byte offsets).
 
-    ``state`` is FIRST_REPEATED for the occurrence that stays and REPEAT for the others.
+    ``version`` is a digest of the document's text: rows of one id with other texts are places of their own. ``state`` is
+    FIRST_REPEATED for the occurrence that stays and REPEAT for the others.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,20 +94,20 @@ def repeated_chunks(docs: DataFrame, *, radius: int = RADIUS, window: int = WIND
         n = 0
 
         def block() -> pa.RecordBatch:
-            digest, doc, start, stop = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((start, doc, digest))
-            digest, doc, start, stop = digest[order], doc[order], start[order], stop[order]
-            state = settle(digest, doc, start, np.zeros(len(digest), np.int64))
+            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+            order = np.lexsort((columns[3], columns[2], columns[1], columns[0]))
+            digest, doc, version, start, stop = (x[order] for x in columns)
+            state = settle(digest, doc, version, start, np.zeros(len(digest), np.int64))
             # what is a repeat for certain needs no meeting with its digest and spreads by its place
             key = np.where(state == REPEAT, doc * np.int64(1_000_003) + start, digest)
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, digest, doc, start.astype(np.int64), stop.astype(np.int64), state)], names=_OCCURRENCE)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, digest, doc, version, start.astype(np.int64), stop.astype(np.int64), state)], names=_OCCURRENCE)
 
         for batch in steps(batches):
-            texts, ids = text_bytes(batch), batch.column(0).to_numpy(zero_copy_only=False)
+            texts, ids, versions = text_bytes(batch), batch.column(0).to_numpy(), batch.column(2).to_numpy()
             cuts = cuts_of(texts, radius, window)
             made = np.array([d for text, own in zip(texts, cuts, strict=True) for d in digests(text, own)], np.uint64).view(np.int64)
-            doc = np.repeat(ids, [len(x) - 1 for x in cuts])
-            held.append((made, doc, np.concatenate([x[:-1] for x in cuts]), np.concatenate([x[1:] for x in cuts])))
+            counts = [len(x) - 1 for x in cuts]
+            held.append((made, np.repeat(ids, counts), np.repeat(versions, counts), np.concatenate([x[:-1] for x in cuts]), np.concatenate([x[1:] for x in cuts])))
             n += len(made)
             if n >= BLOCK:
                 yield block()
@@ -125,21 +126,22 @@ def repeated_chunks(docs: DataFrame, *, radius: int = RADIUS, window: int = WIND
                     continue
             if not held:
                 continue
-            columns = [np.concatenate([x.column(i).to_numpy() for x in held]) for i in range(6)]
+            columns = [np.concatenate([x.column(i).to_numpy() for x in held]) for i in range(len(_OCCURRENCE))]
             done = n if batch is None else int(np.searchsorted(columns[0], columns[0][-1]))  # the last key may go on
             held = [pa.RecordBatch.from_arrays([pa.array(x[done:]) for x in columns], names=_OCCURRENCE)]
             n -= done
-            _, digest, doc, start, stop, state = (x[:done] for x in columns)
+            _, digest, doc, version, start, stop, state = (x[:done] for x in columns)
             out = state.copy()
             open_ = np.flatnonzero(state != REPEAT)
-            out[open_] = settle(digest[open_], doc[open_], start[open_], state[open_])
+            out[open_] = settle(digest[open_], doc[open_], version[open_], start[open_], state[open_])
             kept = np.flatnonzero(out > FIRST)
             if len(kept):
-                yield pa.RecordBatch.from_arrays([*(pa.array(x[kept]) for x in (doc, start, stop, digest)), pa.array(out[kept].astype(np.int32))], names=["doc_id", "start", "stop", "digest", "state"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[kept]) for x in (doc, version, start, stop, digest)), pa.array(out[kept].astype(np.int32))], names=["doc_id", "version", "start", "stop", "digest", "state"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text <> ''")
-    chunks = rows.mapInArrow(cut, "key long, digest long, doc_id long, start long, stop long, state long")
-    return chunks.repartition("key").sortWithinPartitions("key", "digest", "doc_id", "start").mapInArrow(meet, "doc_id long, start long, stop long, digest long, state int")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("version")).where("doc_id is not null and text <> ''")
+    chunks = rows.mapInArrow(cut, "key long, digest long, doc_id long, version long, start long, stop long, state long")
+    dealt = chunks.repartition("key").sortWithinPartitions("key", "digest", "doc_id", "version", "start")
+    return dealt.mapInArrow(meet, "doc_id long, version long, start long, stop long, digest long, state int")
 
 
 def runs(places: list[tuple[int, int]], min_bytes: int) -> list[tuple[int, int]]:
@@ -154,30 +156,31 @@ def runs(places: list[tuple[int, int]], min_bytes: int) -> list[tuple[int, int]]
 
 
 def repeated_passages(docs: DataFrame, *, min_bytes: int = MIN_BYTES, **options) -> DataFrame:
-    """One row for each document that holds a repeated passage: ``doc_id, repeats, removed, repeated_bytes, removed_bytes``.
+    """One row for each document that holds a repeated passage: ``doc_id, version, repeats, removed, repeated_bytes, removed_bytes``.
 
     ``repeats`` lists the spans (byte offsets, start and stop) of repeated passages in the document, ``removed`` those that
     are not kept here because another place comes first. Null and empty texts and rows without an id hold none; rows that
-    repeat an id and a text count once; an empty table gives an empty result; only the id and text columns are read.
+    repeat an id and a text count once, rows of one id with different texts are documents apart, told by ``version`` (the
+    text's xxhash64); an empty table gives an empty result; only the id and text columns are read.
     """
     chunk = F.struct("start", "stop", "state")
-    by_doc = repeated_chunks(docs, **options).groupBy("doc_id").agg(F.sort_array(F.collect_set(chunk)).alias("chunks"))
+    by_doc = repeated_chunks(docs, **options).groupBy("doc_id", "version").agg(F.sort_array(F.collect_set(chunk)).alias("chunks"))
     span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, every, gone = [], [], []
-            for doc, chunks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            held, every, gone = [], [], []
+            for n, chunks in enumerate(batch.column(2).to_pylist()):
                 whole = runs([(c["start"], c["stop"]) for c in chunks], min_bytes)
                 if whole:
-                    ids.append(doc)
+                    held.append(n)
                     every.append([{"start": a, "stop": b} for a, b in whole])
                     gone.append([{"start": a, "stop": b} for a, b in runs([(c["start"], c["stop"]) for c in chunks if c["state"] == REPEAT], min_bytes)])
             sizes = [[sum(x["stop"] - x["start"] for x in row) for row in rows] for rows in (every, gone)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(every, span), pa.array(gone, span), pa.array(sizes[0], pa.int64()), pa.array(sizes[1], pa.int64())], names=["doc_id", "repeats", "removed", "repeated_bytes", "removed_bytes"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(held, pa.int64())) for i in (0, 1)), pa.array(every, span), pa.array(gone, span), pa.array(sizes[0], pa.int64()), pa.array(sizes[1], pa.int64())], names=["doc_id", "version", "repeats", "removed", "repeated_bytes", "removed_bytes"])
 
     kind = "array<struct<start:bigint,stop:bigint>>"
-    return by_doc.mapInArrow(join, f"doc_id long, repeats {kind}, removed {kind}, repeated_bytes long, removed_bytes long")
+    return by_doc.mapInArrow(join, f"doc_id long, version long, repeats {kind}, removed {kind}, repeated_bytes long, removed_bytes long")
 
 
 def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -199,10 +202,10 @@ def remove_repeats(docs: DataFrame, *, length_col: str = "n_chars", **options) -
     """``docs`` without the repeats of passages: all columns stay, ``text`` is cut and ``n_chars``, if present, counts anew.
 
     No row goes; a text that is a repeat as a whole ends up empty. Rows without an id keep their text, and so do rows that
-    repeat the id and text of the place that is kept.
+    repeat the id and text of the place that is kept. Rows of one id with different texts are cut each by its own spans.
     """
-    found = repeated_passages(docs, **options).where("removed_bytes > 0").select(F.col("doc_id").alias("__id"), F.col("removed").alias("__gone"))
-    joined = docs.join(found, docs["doc_id"] == found["__id"], "left").select(*docs.columns, "__gone")
+    found = repeated_passages(docs, **options).where("removed_bytes > 0").select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), F.col("removed").alias("__gone"))
+    joined = docs.join(found, (docs["doc_id"] == found["__id"]) & (F.xxhash64(docs["text"]) == found["__version"]), "left").select(*docs.columns, "__gone")
     schema, text_at = docs.schema, docs.columns.index("text")
     length_at = docs.columns.index(length_col) if length_col in docs.columns else None
 

@@ -90,3 +90,22 @@ def test_passages_match_brute_force(spark, monkeypatch):
 def test_empty(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert substring.repeated_passages(empty).count() == 0 and substring.remove_repeats(empty).count() == 0
+
+
+def test_texts_of_one_id_are_cut_apart(spark):
+    rng = random.Random(6)
+    passage, other = prose(rng, 90), prose(rng, 90)
+    rows = [(1, passage), (2, "intro words here " + passage), (2, other), (2, other), (2, None), (3, other + " and more"), (None, other), (2, "")]
+    want = None
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string").repartition(3)
+        after = sorted(((r.doc_id, r.text) for r in substring.remove_repeats(docs).collect()), key=str)
+        left = [t for d, t in after if d == 2 and t]
+        assert left.count(other) == 2 and len(left) == 3
+        assert len([t for t in left if t != other][0]) < 17 + 120
+        assert [t for d, t in after if d == 1] == [passage] and [t for d, t in after if d is None] == [other]
+        assert len([t for d, t in after if d == 3][0]) < 9 + 120
+        assert want in (None, after)
+        want = after
+    spans = substring.repeated_passages(docs).collect()
+    assert sorted(r.doc_id for r in spans) == [1, 2, 2, 3] and len({r.version for r in spans if r.doc_id == 2}) == 2
