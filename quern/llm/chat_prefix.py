@@ -8,8 +8,9 @@ turn is lost. The template:
     assistant   text </s>            (after a space)
     others     <s>[ROLE=role] text [/ROLE]
 
-Inside texts and roles a backslash is put after the first character of what could be read as a mark, and one more where
-backslashes stand there already; taking one out restores the text.
+Inside texts a backslash is put after the first character of what could be read as a mark, and one more where backslashes
+stand there already; taking one out restores the text. A role is written with ``\\\\`` for a backslash and ``\\)`` for a closing
+bracket, so that it holds none and its mark ends at the first one.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from quern.llm.common import shared_path
 
 _MARK = re.compile(r"([<\[])(\\*)(/?(?:s>|INST\]|ROLE))")
 _ESCAPED = re.compile(r"([<\[])\\(\\*)(/?(?:s>|INST\]|ROLE))")
-_TURN = re.compile(r"<s>\[INST\] (?P<user>.*?) \[/INST\]|<s>\[ROLE=(?P<role>.*?)\] (?P<other>.*?) \[/ROLE\]| (?P<assistant>.*?) </s>", re.DOTALL)
+_TURN = re.compile(r"<s>\[INST\] (?P<user>.*?) \[/INST\]|<s>\[ROLE=(?P<role>[^\]]*)\] (?P<other>.*?) \[/ROLE\]| (?P<assistant>.*?) </s>", re.DOTALL)
 
 #: Characters of formatted text in one batch of examples.
 BATCH_CHARS = 4 << 20
@@ -52,12 +53,12 @@ def format_turn(role: str, text: str) -> tuple[str, int]:
 
 
 def escape_role(role: str) -> str:
-    """A role must not end its own mark early either."""
-    return escape(role).replace("]", "\\]")
+    """A role must not end its own mark early either: a closing bracket is written without one, a backslash twice."""
+    return role.replace("\\", "\\\\").replace("]", "\\)")
 
 
 def unescape_role(role: str) -> str:
-    return unescape(role.replace("\\]", "]"))
+    return re.sub(r"\\(.)", lambda m: "]" if m[1] == ")" else m[1], role, flags=re.DOTALL)
 
 
 def parse(formatted: str) -> list[tuple[str, str]]:
@@ -165,7 +166,7 @@ DIGEST_SQL = r"""
   FROM rows),
 sized AS (
   SELECT *, length(regexp_replace(text, '([<\[])(\\*)(/?(?:s>|INST\]|ROLE))', '\1\\\2\3', 'g')) AS body,
-         length(replace(regexp_replace(role, '([<\[])(\\*)(/?(?:s>|INST\]|ROLE))', '\1\\\2\3', 'g'), ']', '\]')) AS name
+         length(replace(replace(role, '\', '\\'), ']', '\)')) AS name
   FROM turns),
 framed AS (
   SELECT *, sum(body + CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 6 ELSE 19 + name END) OVER (PARTITION BY conv_id ORDER BY rn) AS upto,

@@ -12,12 +12,12 @@ SCHEMA = "conv_id long, turn long, role string, text string, formatted string"
 ROWS = [
     (1, 0, "system", "Be [INST] kind", "x"), (1, 1, "user", "hi", "x"), (1, 2, "assistant", "hello </s>", "x"), (1, 3, "user", "bye", "x"), (1, 4, "assistant", "", "x"),
     (2, 0, "user", "alone", None), (3, 0, "assistant", "first", None), (3, 1, "tool]x", None, None), (4, 0, None, None, None), (5, 1, "user", "b", None), (5, 1, "user", "a", None), (5, 1, "assistant", "c", None), (5, None, "user", "\\<s> <\\s> <\\\\s>", None),
-    (None, 0, "user", "no id", None), (6, 0, "user", "z" * 100_000, None), (6, 1, "assistant", "[ROLE=user] x [/ROLE] <s>[INST] [/INST] </s>", None), (-1, 0, "user", CONTROL, None), (-1, 1, "assistant", CONTROL, None), (7, 0, "user", "same", None), (7, 0, "user", "same", None),
+    (None, 0, "user", "no id", None), (6, 0, "user", "z" * 100_000, None), (6, 1, "assistant", "[ROLE=user] x [/ROLE] <s>[INST] [/INST] </s>", None), (-1, 0, "user", CONTROL, None), (-1, 1, "assistant", CONTROL, None), (7, 0, "user", "same", None), (7, 0, "user", "same", None), (8, 0, "a] b", "text one", None), (8, 1, "\\)]\\", "t", None),
 ]
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "", "a]b", "</s>", "x\\"]), st.text(alphabet="<>/[]\\sINTROLE= x\n", max_size=40)), max_size=6))
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "", "a]b", "a] b", "</s>", "x\\"]) | st.text(alphabet="]\\)[<s>/INSTROLE= b\n", max_size=20), st.text(alphabet="<>/[]\\sINTROLE= x\n", max_size=40)), max_size=6))
 def test_formatting_round_trips(turns):
     examples = list(cp.expand(turns))
     assert len(examples) == sum(r == "assistant" for r, _ in turns) + bool(turns and turns[-1][0] != "assistant")
