@@ -8,21 +8,23 @@ each document is scanned once, and pattern ends are mapped back to words and fro
 from __future__ import annotations
 
 import hashlib
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import LOWER, per_worker, steps, text_bytes
+from quern.llm.common import LOWER, per_worker, shared_path, steps, text_bytes, written
 
 WIDTH = 8
-#: Bytes of benchmark text in one automaton. A larger benchmark is scanned for in several blocks of this size.
-BLOCK_BYTES = 16 << 20
+#: Bytes of benchmark text in one automaton, which takes some 350 times as much memory. A larger benchmark is scanned for in
+#: several blocks of this size.
+BLOCK_BYTES = 1 << 18
 
 _WORDS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in LOWER)
 _SEPARATOR = np.array([not (c >= 128 or chr(c).isalnum()) for c in range(256)])
@@ -95,20 +97,74 @@ def word_offsets(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(apart[:-1] & ~apart[1:]), np.flatnonzero(~apart[:-1] & apart[1:])
 
 
-def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
-    """The benchmark in blocks of bounded size; rows without an id or a text hold nothing to find."""
-    rows = benchmark.select(F.col(id_col).cast("string").alias("name"), F.col(text_col).alias("text"))
-    block: list[tuple[str, bytes]] = []
-    held = 0
-    for name, text in rows.where("name is not null and text is not null").toLocalIterator():
-        data = text.encode()
-        if block and held + len(data) > block_bytes:
-            yield block
-            block, held = [], 0
-        block.append((name, data))
-        held += len(data)
-    if block:
-        yield block
+def store_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> tuple[str, int]:
+    """A folder with the benchmark's distinct items in blocks of about ``block_bytes``, and how many blocks there are.
+
+    Rows without an id or a text hold nothing to find. The driver sees the number of bytes alone.
+    """
+    rows = benchmark.select(F.col(id_col).cast("string").alias("name"), F.col(text_col).alias("text")).where("name is not null and text is not null").distinct()
+    held = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, -(-held // block_bytes))
+    path = shared_path(benchmark.sparkSession, "benchmark")
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("name", "text"), F.lit(n)).cast("int")).repartition(min(n, 200), "block")
+    dealt.write.partitionBy("block").parquet(path)
+    return path, n
+
+
+def read_block(path: str, block: int) -> list[tuple[str, bytes]]:
+    """Items of one block, in order of their names."""
+    store, top = pafs.FileSystem.from_uri(path)
+    items: list[tuple[str, bytes]] = []
+    for info in store.get_file_info(pafs.FileSelector(f"{top}/block={block}", allow_not_found=True)):
+        if info.path.endswith(".parquet"):
+            with store.open_input_file(info.path) as file:
+                found = pq.ParquetFile(file).read().to_pydict()
+            items += [(name, text.encode()) for name, text in zip(found["name"], found["text"], strict=True)]
+    return sorted(items)
+
+
+_STATE = T.StructType([T.StructField("spans", T.ArrayType(FOUND)), T.StructField("items", T.ArrayType(T.StringType()))])
+Finish = Callable[[pa.RecordBatch, list[tuple[int, list[tuple[int, int]], list[str]]]], pa.RecordBatch]
+
+
+def scan_for(rows: DataFrame, text_col: str, benchmark: DataFrame, finish: Finish, schema: T.StructType, *, width: int, block_bytes: int, item_id: str, item_text: str) -> DataFrame:
+    """``finish`` over batches of ``rows`` and what is found in each text: number of words, hit spans, item names.
+
+    One narrow pass without a shuffle. A benchmark of several blocks takes a pass for each, with a table between them that
+    keeps what was found, so that a task holds one automaton and one worker at a time.
+    """
+    path, n = store_blocks(benchmark, item_id, item_text, block_bytes)
+    width_in = len(rows.columns)
+    for block in range(n):
+        last = block == n - 1
+
+        def scan(batches: Iterator[pa.RecordBatch], block: int = block, last: bool = last) -> Iterator[pa.RecordBatch]:
+            key = f"{path}/{block}"
+            for batch in steps(batches, text_col, keep=key):
+                scanner = per_worker(key, lambda: Scanner(read_block(path, block), width))
+                before = batch.column(width_in).to_pylist() if block else [None] * batch.num_rows
+                found = []
+                for text, old in zip(text_bytes(batch, text_col), before, strict=True):
+                    words = words_of(text)
+                    spans, items = scanner.scan(words)
+                    if old:
+                        spans = merged(sorted(spans + [(x["start"], x["end"]) for x in old["spans"]]))
+                        items = items.union(old["items"])
+                    found.append((len(words), spans, sorted(items)))
+                own = pa.RecordBatch.from_arrays(batch.columns[:width_in], names=batch.schema.names[:width_in])
+                if last:
+                    yield finish(own, found)
+                else:
+                    state = [{"spans": [{"start": a, "end": b} for a, b in spans], "items": items} if items else None for _, spans, items in found]
+                    yield pa.RecordBatch.from_arrays([*own.columns, pa.array(state, _ARROW_STATE)], names=[*own.schema.names, "__leaks"])
+
+        rows = rows.mapInArrow(scan, schema if last else T.StructType([*rows.schema.fields[:width_in], T.StructField("__leaks", _STATE)]))
+        rows = rows if last else written(rows, "leaks")
+    return rows
+
+
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_ARROW_STATE = pa.struct([("spans", _SPANS), ("items", pa.list_(pa.string()))])
 
 
 def find_leaks(
@@ -118,36 +174,20 @@ def find_leaks(
 
     ``keep_text=False`` gives null texts, which spares their way back from Python.
 
-    One narrow pass per block of the benchmark, no shuffle. Only the id and text columns are read, so extra columns with
-    any name do no harm. Null and empty texts have no words and no hits; repeated rows each get their row; an empty
-    benchmark finds nothing; items with a null id or text are not looked for.
+    Only the id and text columns are read, so extra columns with any name do no harm. Null and empty texts have no words and
+    no hits; repeated rows each get their row; an empty benchmark finds nothing; items with a null id or text are not looked
+    for.
     """
-    spark = docs.sparkSession
-    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumns(
-        {"n_words": F.lit(None).cast("long"), "spans": F.lit(None).cast(T.ArrayType(FOUND)), "items": F.lit(None).cast("array<string>")}
-    )
-    blocks = list(blocks_of(benchmark, item_id, item_text, block_bytes)) or [[]]
-    for n, block in enumerate(blocks):
-        shared = spark.sparkContext.broadcast(block)  # bounded by block_bytes
-
-        def scan(batches, shared=shared, key=uuid.uuid4().hex, with_text=keep_text or n < len(blocks) - 1):
-            scanner = per_worker(key, lambda: Scanner(shared.value, width))
-            for batch in steps(batches, keep=key):
-                n_words, spans, items = [], [], []
-                for text, old, names in zip(text_bytes(batch), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                    words = words_of(text)
-                    hit, found = scanner.scan(words)
-                    if old:
-                        hit = merged(sorted(hit + [(x["start"], x["end"]) for x in old]))
-                    n_words.append(len(words))
-                    spans.append([{"start": a, "end": b} for a, b in hit])
-                    items.append(sorted(found.union(names or ())))
-                span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-                kept = batch.column(1) if with_text else pa.nulls(batch.num_rows, pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column(0), kept, pa.array(n_words, pa.int64()), pa.array(spans, span), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "text", "n_words", "spans", "items"])
-
-        out = out.mapInArrow(scan, out.schema)
-    return out
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    schema = T.StructType([*rows.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(FOUND)), T.StructField("items", T.ArrayType(T.StringType()))])
+
+    def finish(batch: pa.RecordBatch, found: list[tuple[int, list[tuple[int, int]], list[str]]]) -> pa.RecordBatch:
+        n_words, spans, items = zip(*found, strict=True)
+        text = batch.column(1) if keep_text else pa.nulls(batch.num_rows, pa.string())
+        named = [[{"start": a, "end": b} for a, b in x] for x in spans]
+        return pa.RecordBatch.from_arrays([batch.column(0), text, pa.array(n_words, pa.int64()), pa.array(named, _SPANS), pa.array(items, pa.list_(pa.string()))], names=schema.names)
+
+    return scan_for(rows, "text", benchmark, finish, schema, width=width, block_bytes=block_bytes, item_id=item_id, item_text=item_text)
 
 
 def leak_report(docs: DataFrame, benchmark: DataFrame, *, min_items: int = 2, **options) -> DataFrame:
@@ -179,49 +219,29 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, *, min_items: int = 2, w
     """``docs`` without contaminated documents, and the others without the words that windows of one item cover.
 
     Documents with windows of at least ``min_items`` items go. All columns stay; ``n_chars``, if present, counts anew where
-    a text was cut. Rows without hits, null texts among them, stay as they are. One narrow pass, no shuffle, unless the
-    benchmark has several blocks: each is then a pass of its own, and what an earlier pass found is kept in a column.
+    a text was cut. Rows without hits, null texts among them, stay as they are; repeated rows are treated alike; an empty
+    table gives an empty one and an empty benchmark changes nothing. One narrow pass, see ``scan_for``.
     """
-    spark, names = docs.sparkSession, docs.columns
+    names = docs.columns
     at, length_at = names.index("text"), names.index(length_col) if length_col in names else None
-    state = "__leaks"
-    out = docs.withColumn(state, F.lit(None).cast(T.StructType([T.StructField("spans", T.ArrayType(FOUND)), T.StructField("items", T.ArrayType(T.StringType()))])))
-    for block in list(blocks_of(benchmark, item_id, item_text, block_bytes)):
-        shared = spark.sparkContext.broadcast(block)  # bounded by block_bytes
-
-        def scan(batches, shared=shared, key=uuid.uuid4().hex):
-            scanner = per_worker(key, lambda: Scanner(shared.value, width))
-            for batch in steps(batches, keep=key):
-                found = batch.column(len(names)).to_pylist()
-                for i, text in enumerate(text_bytes(batch)):
-                    spans, items = scanner.scan(words_of(text))
-                    if items:
-                        old = found[i] or {"spans": [], "items": []}
-                        spans = merged(sorted(spans + [(x["start"], x["end"]) for x in old["spans"]]))
-                        found[i] = {"spans": [{"start": a, "end": b} for a, b in spans], "items": sorted(items.union(old["items"]))}
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, batch.column(len(names)).type)], names=batch.schema.names)
-
-        out = out.mapInArrow(scan, out.schema)
-
-    def cut(batches):
-        for batch in steps(batches):
-            found = batch.column(len(names)).to_pylist()
-            columns = list(batch.columns[:-1])
-            if any(found):
-                texts = columns[at].to_pylist()
-                sizes = columns[length_at].to_pylist() if length_at is not None else None
-                for i, x in enumerate(found):
-                    if x:
-                        texts[i] = cut_words(texts[i].encode(), [(s["start"], s["end"]) for s in x["spans"]]).decode()
-                        if sizes:
-                            sizes[i] = len(texts[i])
-                columns[at] = pa.array(texts, columns[at].type)
-                if sizes:
-                    columns[length_at] = pa.array(sizes, columns[length_at].type)
-            clean = pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
-            yield clean.filter(pa.array([not x or len(x["items"]) < min_items for x in found], pa.bool_()))
-
-    return out.mapInArrow(cut, docs.schema)
+
+    def finish(batch: pa.RecordBatch, found: list[tuple[int, list[tuple[int, int]], list[str]]]) -> pa.RecordBatch:
+        if any(spans for _, spans, _ in found):
+            columns = list(batch.columns)
+            texts = columns[at].to_pylist()
+            sizes = columns[length_at].to_pylist() if length_at is not None else None
+            for i, (_, spans, _) in enumerate(found):
+                if spans:
+                    texts[i] = cut_words(texts[i].encode(), spans).decode()
+                    if sizes:
+                        sizes[i] = len(texts[i])
+            columns[at] = pa.array(texts, columns[at].type)
+            if sizes:
+                columns[length_at] = pa.array(sizes, columns[length_at].type)
+            batch = pa.RecordBatch.from_arrays(columns, names=names)
+        return batch.filter(pa.array([len(items) < min_items for _, _, items in found], pa.bool_()))
+
+    return scan_for(docs, "text", benchmark, finish, docs.schema, width=width, block_bytes=block_bytes, item_id=item_id, item_text=item_text)
 
 
 def brute_force(docs: list[tuple[int, str | None]], benchmark: list[tuple[int, str | None]], width: int = WIDTH, min_items: int = 2) -> list[tuple]:
