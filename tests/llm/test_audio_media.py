@@ -90,3 +90,46 @@ def test_features_are_derived_from_stored_tensors(spark, tmp_path, monkeypatch):
         lower = pa.FixedShapeTensorArray.from_numpy_ndarray(t["mels"].combine_chunks().to_numpy_ndarray() - 7)
         pq.write_table(t.set_column(t.schema.get_field_index("mels"), "mels", lower), f)
     assert all(r.feature != want[r.media_sha256] for r in described.collect())
+
+
+def slow_feature(text):
+    """The feature by its definition: zero-stuffing and convolution, a Fourier matrix, triangles, a walk over the frames."""
+    payload = text + bytes(-len(text) % 64 or (64 if not text else 0))
+    x = (np.frombuffer(payload, np.uint8).astype(float) - 128) / 128
+    place = np.arange(36) - 17.5
+    taps = np.sinc(place / 4) / 4 * np.hamming(36) * 3
+    y = np.zeros(-(-len(x) // 4) * 3)
+    for m in range(len(y)):
+        for i in range(max(0, (4 * m - 20) // 3), min(len(x), (4 * m + 15) // 3 + 1)):
+            if 0 <= 4 * m - 3 * i + 15 < 36:
+                y[m] += x[i] * taps[4 * m - 3 * i + 15]
+    n = 1 + max(0, -(-(len(y) - 256) // 128))
+    y = np.r_[y, np.zeros(max(0, (n - 1) * 128 + 256 - len(y)))]
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(256) / 256)
+    fourier = np.exp(-2j * np.pi * np.outer(np.arange(256), np.arange(129)) / 256)
+    mel, hertz = lambda f: 1127 * np.log(1 + f / 700), lambda m: 700 * (np.exp(m / 1127) - 1)
+    edges = [hertz(mel(40) + k * (mel(6000) - mel(40)) / 33) for k in range(34)]
+    weights = np.zeros((129, 32))
+    for k in range(32):
+        a, b, c = edges[k : k + 3]
+        for j in range(129):
+            f = j * 12000 / 256
+            weights[j, k] = max(0, min((f - a) / (b - a), (c - f) / (c - b)))
+        weights[next(j for j in range(129) if j * 12000 / 256 >= b), k] += 1e-3
+    mels = np.array([10 * np.log10(np.abs((y[128 * t : 128 * t + 256] * window) @ fourier) ** 2 @ weights + 1e-10) for t in range(n)])
+    energy, on, segments, loud = mels.mean(1), False, 0, 0
+    for e in energy:
+        was, on = on, e > np.median(energy) + 3 or on and e >= np.median(energy) + 1
+        segments += on and not was
+        loud += on
+    return n, segments, loud * 128 / 12, mels.mean(0)
+
+
+def test_features_match_their_definition():
+    rng = np.random.default_rng(3)
+    loud = b"".join(bytes(rng.integers(32, 127, 700, dtype=np.uint8)) + b" " * 900 for _ in range(3))
+    for text in (b"", b"hello", b"It was a dark and stormy night. " * 40, loud, bytes(rng.integers(0, 256, 3001, dtype=np.uint8))):
+        frames, segments, ms, mels = am.analyse(am.to_wav(am.payload_of(text))).summary().split(";")
+        want = slow_feature(text)
+        assert (int(frames), int(segments)) == want[:2] and abs(float(ms) - want[2]) < 0.06
+        assert np.abs(np.array(mels.split(","), float) - want[3]).max() < 0.15
