@@ -2,7 +2,9 @@
 
 The score is a small network over shape features of the whole text. It minimises prior * E_p[l(g)] + max(0, E_u[l(-g)] -
 prior * E_p[l(-g)]) with the logistic loss l, from trusted positives and unlabelled web text; labels of negatives take no
-part in it. The class prior is estimated as the share of positives among all labelled rows that may be learned from.
+part in it. Nor do they in the class prior, which is a mixture proportion: a network that tells positives from unlabelled rows
+is fitted on one half of both, and on the other half the prior is the least ratio of the shares of unlabelled rows and of
+positives above a threshold, where both are known well enough (``class_prior``).
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -96,16 +98,34 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, rounds: int = 40, batch: int = 512, rate: float = 0.01, decay: float = 1e-4, seed: int = 7) -> Model:
-    """Minimises the non-negative risk by Adam over paired batches.
+def risk(weights: list[np.ndarray], p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, list[np.ndarray]]:
+    """The non-negative risk of positives and unlabelled rows, and the direction that a step goes against.
 
-    Where a batch's estimate of the negatives' risk turns negative, the step goes up that part's gradient instead, which
-    undoes the overfit. With no positives or nothing unlabelled the score is the prior everywhere.
+    Where the estimate of the negatives' risk turns negative, that is its gradient's opposite, which undoes the overfit.
     """
+    gp, gu = _forward(weights, p)[1], _forward(weights, u)[1]
+    negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+    value = prior * np.logaddexp(0, -gp).mean() + max(0.0, negative)
+    down = _gradient(weights, u, _sigmoid(gu) / len(u)), _gradient(weights, p, -prior * _sigmoid(gp) / len(p))
+    if negative < 0:
+        return value, [-(a + b) for a, b in zip(*down, strict=True)]
+    up = _gradient(weights, p, -prior * _sigmoid(-gp) / len(p))
+    return value, [a + b + c for a, b, c in zip(*down, up, strict=True)]
+
+
+def contrast(weights: list[np.ndarray], p: np.ndarray, u: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """Logistic loss of telling positives from unlabelled rows, and its gradient."""
+    gp, gu = _forward(weights, p)[1], _forward(weights, u)[1]
+    parts = _gradient(weights, u, _sigmoid(gu) / len(u)), _gradient(weights, p, -_sigmoid(-gp) / len(p))
+    return np.logaddexp(0, gu).mean() + np.logaddexp(0, -gp).mean(), [a + b for a, b in zip(*parts, strict=True)]
+
+
+Loss = Callable[[list[np.ndarray], np.ndarray, np.ndarray], tuple[float, list[np.ndarray]]]
+
+
+def minimise(loss: Loss, positive: np.ndarray, unlabelled: np.ndarray, *, rounds: int, batch: int = 512, rate: float = 0.01, decay: float = 1e-4, seed: int = 7) -> Model:
+    """A network that minimises ``loss`` by Adam over paired batches."""
     width = positive.shape[1]
-    if not len(positive) or not len(unlabelled):
-        odds = math.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
-        return Model(np.zeros(width, np.float32), np.ones(width, np.float32), [np.zeros((width, 1)), np.zeros(1), np.zeros(1), np.zeros(width), np.float64(odds)])
     mean, scale = unlabelled.mean(0), unlabelled.std(0)
     scale = np.where(scale > 1e-6, scale, 1).astype(np.float32)
     p, u = (positive - mean) / scale, (unlabelled - mean) / scale
@@ -119,15 +139,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, rounds: i
     while t < total:
         for rows in np.array_split(rng.permutation(len(u)), max(1, len(u) // size)):
             t += 1
-            xp, xu = p[rng.integers(0, len(p), size)], u[rows]
-            gp, gu = _forward(weights, xp)[1], _forward(weights, xu)[1]
-            negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-            down = _gradient(weights, xu, _sigmoid(gu) / len(xu)), _gradient(weights, xp, -prior * _sigmoid(gp) / len(xp))
-            if negative >= 0:
-                up = _gradient(weights, xp, -prior * _sigmoid(-gp) / len(xp))
-                grads = [a + b + c for a, b, c in zip(*down, up, strict=True)]
-            else:
-                grads = [-(a + b) for a, b in zip(*down, strict=True)]
+            _, grads = loss(weights, p[rng.integers(0, len(p), size)], u[rows])
             step = rate * (1 - t / (total + 1)) / (1 - 0.9**t) * math.sqrt(1 - 0.999**t)
             for i, g in enumerate(grads):
                 g = g + decay * weights[i]
@@ -139,6 +151,33 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, rounds: i
     return Model(mean.astype(np.float32), scale, weights)
 
 
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, *, rounds: int = 20) -> float:
+    """The share of positives among unlabelled rows, from positives and unlabelled rows alone.
+
+    Above any threshold of any score the unlabelled rows hold at least ``prior`` times the positives' share, and just that
+    much where no negatives are. The threshold is the one whose ratio has the least upper bound (Hoeffding, at 95 %). Rows
+    alternate between fitting the score and counting. 0.5 if there are under two rows of a kind.
+    """
+    if min(len(positive), len(unlabelled)) < 2:
+        return 0.5
+    model = minimise(contrast, positive[::2], unlabelled[::2], rounds=rounds)
+    p, u = np.sort(model(positive[1::2])), np.sort(model(unlabelled[1::2]))
+    above = lambda own: 1 - np.searchsorted(own, p, "left") / len(own)
+    slack = sum(math.sqrt(math.log(4 / 0.05) / (2 * len(x))) for x in (p, u))
+    share_p, share_u = above(p), above(u)
+    best = int(np.argmin((share_u + slack) / share_p))
+    return float(np.clip(share_u[best] / share_p[best], 0.01, 0.99))
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, rounds: int = 40, **options) -> Model:
+    """Minimises the non-negative risk. With no positives or nothing unlabelled the score is the prior everywhere."""
+    width = positive.shape[1]
+    if not len(positive) or not len(unlabelled):
+        odds = math.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
+        return Model(np.zeros(width, np.float32), np.ones(width, np.float32), [np.zeros((width, 1)), np.zeros(1), np.zeros(1), np.zeros(width), np.float64(odds)])
+    return minimise(lambda w, p, u: risk(w, p, u, prior), positive, unlabelled, rounds=rounds, **options)
+
+
 def sampled_features(docs: DataFrame, ids: DataFrame) -> np.ndarray:
     """Feature rows of a bounded sample of documents, in order of their ids."""
 
@@ -155,14 +194,13 @@ def sampled_features(docs: DataFrame, ids: DataFrame) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fits on at most ``sample_rows`` trusted positives and as many unlabelled documents, none of them held out.
 
-    The prior counts every labelled row that isn't held out. Null labels and ids are not learned from.
+    Rows with label 0 are not looked at, nor are null labels and ids. More rows than the bound change the fit little: the
+    network has some thousand weights.
     """
-    known = labels.select("doc_id", F.col(label_col).alias("label")).where(F.col("label").isNotNull() & F.col("doc_id").isNotNull())
-    seen = known.where(~held_out(F.col("doc_id"))).agg(F.count("*").alias("n"), F.sum((F.col("label") == 1).cast("long")).alias("good")).first()
-    prior = (seen["good"] or 0) / seen["n"] if seen["n"] else 0.5
-    positive = sampled_features(docs, smallest(known.where("label = 1").select("doc_id"), sample_rows))
+    known = labels.select("doc_id", F.col(label_col).alias("label")).where("label = 1 and doc_id is not null")
+    positive = sampled_features(docs, smallest(known.select("doc_id"), sample_rows))
     unlabelled = sampled_features(docs, smallest(docs.select("doc_id"), sample_rows))
-    return fit(positive, unlabelled, prior)
+    return fit(positive, unlabelled, class_prior(positive, unlabelled))
 
 
 def _scores(model: Model, batch: pa.RecordBatch) -> np.ndarray:

@@ -1,8 +1,8 @@
 """Toxicity by a factorization machine over hashed terms.
 
-Terms are the distinct lower-cased words of the whole text and their beginnings, hashed into SLOTS slots. On the sample,
-slots whose presence is independent of the label (chi-square below LEAST_CHI2) are left out; the rest get a weight and a
-vector of FACTORS numbers each. The score is the logistic of bias + sum of weights + sum over pairs of the vectors'
+Terms are the distinct lower-cased words of the whole text and their beginnings, hashed into SLOTS slots. On the sample, slots
+that tell nothing of the label are left out: neither alone (chi-square below LEAST_CHI2) nor in a pair, whose chi-square must
+exceed those of its members by LEAST_PAIR_CHI2. The rest get a weight and a vector of FACTORS numbers each. The score is the logistic of bias + sum of weights + sum over pairs of the vectors'
 products, so that pairs such as an insult and a mention of a group count beyond their words.
 """
 
@@ -28,6 +28,8 @@ SAMPLE_ROWS = 12_000
 SLOTS, FACTORS, STEM = 1 << 20, 8, 5
 #: Presence and label are independent beyond chance above this chi-square (one degree of freedom); rows a slot needs.
 LEAST_CHI2, LEAST_ROWS = 12.0, 3
+#: The same of a pair beyond its members, where millions of pairs are tried, and the most frequent slots that are paired.
+LEAST_PAIR_CHI2, PAIRED = 40.0, 2048
 #: Words that a worker remembers the slots of.
 MOST_WORDS = 300_000
 
@@ -63,17 +65,31 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
+def chi_square(seen: np.ndarray, hits: np.ndarray, n: int, good: int) -> np.ndarray:
+    """Of presence in ``seen`` rows, ``hits`` of them with label 1, against the label of n rows, ``good`` of them with 1."""
+    seen = seen.astype(float)
+    spread = seen * (n - seen) * good * (n - good) / n
+    return np.divide((hits * float(n) - seen * good) ** 2, spread, out=np.zeros(seen.shape), where=spread > 0)
+
+
 def chosen_slots(rows: list[np.ndarray], label: np.ndarray) -> np.ndarray:
-    """Slots whose presence tells about the label."""
+    """Slots whose presence tells about the label, alone or together with that of another slot."""
     n, good = len(rows), int(label.sum())
     if not n or not 0 < good < n:
         return np.empty(0, np.int64)
     every = np.concatenate(rows)
-    seen = np.bincount(every, minlength=SLOTS).astype(float)
-    hits = np.bincount(every, np.repeat(label.astype(float), [len(x) for x in rows]), minlength=SLOTS)
-    spread = seen * (n - seen) * good * (n - good) / n
-    chi2 = np.divide((hits * n - seen * good) ** 2, spread, out=np.zeros(SLOTS), where=spread > 0)
-    return np.flatnonzero((chi2 >= LEAST_CHI2) & (seen >= LEAST_ROWS))
+    seen = np.bincount(every, minlength=SLOTS)
+    alone = chi_square(seen, np.bincount(every, np.repeat(label.astype(float), [len(x) for x in rows]), minlength=SLOTS), n, good)
+    kept = (alone >= LEAST_CHI2) & (seen >= LEAST_ROWS)
+    often = np.argsort(-seen, kind="stable")[:PAIRED]
+    often = np.sort(often[(seen[often] >= LEAST_ROWS) & (seen[often] < n)])
+    held = np.zeros((n, len(often)), np.float32)
+    for own, x in zip(held, rows, strict=True):
+        own[np.isin(often, x, assume_unique=True)] = 1
+    both, hits = held.T @ held, held[label == 1].T @ held[label == 1]
+    gain = chi_square(both, hits, n, good) - alone[often] - alone[often][:, None]
+    kept[often[((gain >= LEAST_PAIR_CHI2) & (both >= LEAST_ROWS)).any(1)]] = True
+    return np.flatnonzero(kept)
 
 
 def fit(rows: list[np.ndarray], label: np.ndarray, *, rounds: int = 100, rate: float = 0.05, decay: float = 2e-4, seed: int = 3) -> Model:
