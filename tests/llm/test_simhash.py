@@ -116,6 +116,89 @@ def test_edge_cases_and_filter(spark):
     assert got == sorted([(False, 2, 1), (False, 1, 1), (False, 1, 1), (False, 5, 5), (False, 6, 5), (True, None, 1)], key=str)
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
-    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, 5, None], key=str)
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, 5], key=str)
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
+
+
+def slow_groups(texts, similarity=0.8, size=5):
+    sets = []
+    for t in texts:
+        words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").split()
+        sets.append({tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set())
+    alike = lambda x, y: not x | y or len(x & y) / len(x | y) >= similarity
+    return [(i, j) for i in range(len(texts)) for j in range(i) if alike(sets[i], sets[j])]
+
+
+def edited(rng, words, text, share):
+    w = text.split()
+    for i in rng.sample(range(len(w)), round(share * len(w))):
+        w[i] = rng.choice(words)
+    return " ".join(w)
+
+
+def test_one_of_each_group_of_similar_texts_stays(spark):
+    rng = random.Random(8)
+    words = ["w%d" % i for i in range(3000)]
+    texts = []
+    for _ in range(60):
+        base = " ".join(rng.choice(words) for _ in range(rng.randint(120, 400)))
+        texts += [base, edited(rng, words, base, 0.005), edited(rng, words, base, 0.012)]
+    texts += [None, "", " ", "one", "One ", "one two", "x " * 500]
+    pairs = slow_groups(texts)
+    root = list(range(len(texts)))
+    for i, j in pairs:  # indices fall, so that the smallest of a group is its root
+        a, b = root[i], root[j]
+        root = [min(a, b) if x in (a, b) else x for x in root]
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert kept == set(root) and len(pairs) > 100
+
+
+def test_crowded_keys_keep_their_groups(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "DENSE", 8)
+    rng = random.Random(9)
+    words = ["w%d" % i for i in range(3000)]
+    base = " ".join(rng.choice(words) for _ in range(300))
+    texts = [base] + [edited(rng, words, base, 0.01) for _ in range(100)] + [" ".join(rng.choice(words) for _ in range(200)) for _ in range(30)]
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert kept == {0, *range(101, 131)}
+    low = np.random.default_rng(2).integers(0, 1 << 64, 50, dtype=np.uint64)
+    close = np.concatenate((low, low ^ np.uint64(1), low ^ np.uint64(6)))
+    found = [(int(i), int(j)) for a, b in simhash.from_the_middle(close, close) for i, j in zip(a, b)]
+    node, root = forest(*np.array(found).T)
+    assert len(node) == 100 and len(found) == 100
+
+
+def test_most_pairs_at_the_threshold_are_found(spark):
+    """Of pairs with a similarity just over 0.8, nine in ten share a key."""
+    rng = random.Random(10)
+    words = ["w%d" % i for i in range(5000)]
+    texts = []
+    while len(texts) < 400:
+        base = " ".join(rng.choice(words) for _ in range(300))
+        other = edited(rng, words, base, 0.021)
+        if slow_groups([base, other]) and not slow_groups([base, other], 0.84):
+            texts += [base, other]
+    kept = simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count()
+    assert kept <= 200 + 0.1 * 200
+
+
+def test_minimal_spanning_forest():
+    rng = np.random.default_rng(4)
+    a, b, weight = rng.integers(0, 40, 300), rng.integers(0, 40, 300), rng.integers(0, 9, 300)
+    chosen = simhash.spanning(a, b, weight)
+    want, root = 0, list(range(40))
+    for w, x, y in sorted(zip(weight.tolist(), a.tolist(), b.tolist())):
+        if root[x] != root[y]:
+            want += w
+            root = [root[y] if r == root[x] else r for r in root]
+    assert weight[chosen].sum() == want and len(chosen) == 40 - len(set(root))
+
+
+def test_different_texts_of_one_id_stay(spark):
+    rng = random.Random(11)
+    one, two, three = (" ".join(rng.choice("abcdefgh") * 3 + str(rng.random()) for _ in range(60)) for _ in range(3))
+    rows = [(1, one, "b"), (1, two, "x"), (1, one, "a"), (2, two, "y"), (None, three, "z"), (None, three, "z"), (None, one, "n"), (3, None, "q"), (None, "", "r")]
+    for order in (rows, rows[::-1]):
+        kept = [tuple(r) for r in simhash.keep_one(spark.createDataFrame(order, "doc_id long, text string, version string")).collect()]
+        assert sorted(kept, key=str) == sorted([(1, one, "a"), (1, two, "x"), (None, three, "z"), (3, None, "q")], key=str)
