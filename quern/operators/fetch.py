@@ -53,6 +53,7 @@ def _hydrated(reader: Reader, relation: Relation) -> DataFrame:
     entity, prefix = relation.entity, relation.paths[()]
     names = dict.fromkeys([entity.pk, *(f.name for f in entity.fields if f.visible), *(r.fk for r in entity.rels if r.kind == "belongs_to")])
     columns = [F.col(prefix + n).alias(n) for n in names if n]
+    relation.expect(c.name for c in entity.computed)
     columns += [relation.select_path(c.name).alias(c.name) for c in entity.computed]
     df = relation.df.select(*columns)
     return _with_eav(reader, entity, df)
@@ -68,7 +69,11 @@ def _with_eav(reader: Reader, entity: Entity, df: DataFrame) -> DataFrame:
         rows = rows.where(F.col("entity_type") == eav.entity_type)
     if eav.shape == "json":
         rows = rows.where("valid_to is null")
-    pick = [F.first(F.when(F.col("field_definition_id") == d, eav_value(f.type, eav.shape)), ignorenulls=True).alias(n) for n, (d, f) in virtual.items()]
+    pick = []
+    for n, (d, f) in virtual.items():
+        own = F.col("field_definition_id") == d
+        twice = F.count(F.when(own, 1)) > 1
+        pick.append(F.when(twice, F.raise_error(F.lit(f"eav: {entity.name}.{n} has several values for one entity"))).otherwise(F.max(F.when(own, eav_value(f.type, eav.shape)))).alias(n))
     side = rows.groupBy(F.col("entity_id").alias("__entity")).agg(*pick)
     return df.join(side, df[entity.pk] == F.col("__entity"), "left").drop("__entity")
 
@@ -107,6 +112,7 @@ def _hydrated_with(reader: Reader, relation: Relation, fk: str) -> DataFrame:
     entity, prefix = relation.entity, relation.paths[()]
     names = dict.fromkeys([entity.pk, *(f.name for f in entity.fields if f.visible), *(r.fk for r in entity.rels if r.kind == "belongs_to")])
     columns = [F.col(prefix + n).alias(n) for n in names if n]
+    relation.expect(c.name for c in entity.computed)
     columns += [relation.select_path(c.name).alias(c.name) for c in entity.computed]
     df = relation.df.select(*columns, F.col(prefix + fk).alias("__fk"))
     return _with_eav(reader, entity, df) if entity.pk else df

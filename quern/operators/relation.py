@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from itertools import count
 from typing import Any
 
@@ -13,7 +13,7 @@ from quern.errors import InvalidQueryError, ScopeError
 from quern.operators.predicate import condition
 from quern.operators.vector import cosine
 from quern.plans.graph import Target, resolve
-from quern.plans.language import And, Filter, Leaf, Not, conjuncts, normalize
+from quern.plans.language import And, Filter, Leaf, Not, conjuncts, leaves, normalize
 from quern.plans.model import Computed, Entity, Rel, SemanticModel
 
 
@@ -77,6 +77,7 @@ class Relation:
         self._numbers = count()
         self.paths: dict[tuple[str, ...], str] = {}
         self.extra: dict[tuple, str] = {}
+        self.expected: set[str] = set()
         self.df = self._renamed(reader.table(entity), ())
 
     def _renamed(self, df: DataFrame, path: tuple[str, ...]) -> DataFrame:
@@ -122,7 +123,7 @@ class Relation:
                 rows = rows.where(F.col("entity_type") == eav.entity_type)
             if eav.shape == "json":
                 rows = rows.where("valid_to is null")
-            side = rows.select(F.col("entity_id").alias(name + "id"), eav_value(field.type, eav.shape).alias(name + "value"))
+            side = rows.groupBy(F.col("entity_id").alias(name + "id")).agg(only_one(eav_value(field.type, eav.shape), f"{target.entity.name}.{target.name}").alias(name + "value"))
             self.df = self.df.join(side, F.col(prefix + target.entity.pk) == F.col(name + "id"), "left")
             self.extra[key] = name + "value"
         return self.extra[key]
@@ -130,27 +131,49 @@ class Relation:
     def _computed(self, target: Target, prefix: str) -> str:
         key = ("computed", prefix, target.name)
         if key not in self.extra:
-            metric, parts = target.entity.metric(target.name), []
-            for rel_name, field in metric.over:
-                name = f"c{next(self._numbers)}_"
-                side = self._children(target.entity, metric, rel_name, field, name)
-                self.df = self.df.join(side, F.col(prefix + target.entity.pk) == F.col(name + "id"), "left")
-                parts.append(F.col(name + "value"))
+            metric = target.entity.metric(target.name)
+            parts = [F.col(self._side(target.entity, prefix, metric, rel, field)) for rel, field in metric.over]
             value = parts[0] if len(parts) == 1 else (F.greatest if metric.agg == "max" else F.least)(*parts)
             name = f"m{next(self._numbers)}_value"
             self.df = self.df.withColumn(name, F.coalesce(value, F.lit(0)) if metric.agg == "count" else value)
             self.extra[key] = name
         return self.extra[key]
 
-    def _children(self, entity: Entity, metric: Computed, rel_name: str, field: str, name: str) -> DataFrame:
-        rel = entity.rel(rel_name)
-        if rel is None or rel.kind != "has_many":
-            raise InvalidQueryError(f"computed {metric.name}: {rel_name} is no to-many relation")
-        child = Relation(self.reader, rel.target, whole_days=self.whole_days)
-        child.apply(normalize(metric.where))
-        own = F.lit(1) if field == "*" else child.column(resolve(self.model, rel.target, field))
-        agg = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}[metric.agg]
-        return child.df.groupBy(F.col(child.paths[()] + rel.fk).alias(name + "id")).agg(agg(own).alias(name + "value"))
+    def expect(self, names: Iterable[str]) -> None:
+        """Says which fields of the entity will be asked for, so that computed ones over the same children share a pass."""
+        self.expected.update(names)
+
+    def _side(self, entity: Entity, prefix: str, metric: Computed, rel_name: str, field: str) -> str:
+        """The column of a metric over children, from one grouped pass with all expected metrics over the same children."""
+        key = ("side", prefix, metric.name, rel_name, field)
+        if key not in self.extra:
+            rel = entity.rel(rel_name)
+            if rel is None or rel.kind != "has_many":
+                raise InvalidQueryError(f"computed {metric.name}: {rel_name} is no to-many relation")
+            child = Relation(self.reader, rel.target, whole_days=self.whole_days)
+            wanted = [(metric, field)]
+            if not prefix.strip("t0_"):  # of this entity itself
+                others = [(c, f) for c in entity.computed if c.name in self.expected and c is not metric for r, f in c.over if r == rel_name]
+                wanted += [x for x in others if child.is_own(*x)] if child.is_own(metric, field) else []
+            if len(wanted) == 1:
+                child.apply(normalize(metric.where))
+            name = f"c{next(self._numbers)}_"
+            aggs = []
+            for n, (c, f) in enumerate(wanted):
+                own = F.lit(1) if f == "*" else child.column(resolve(self.model, rel.target, f))
+                if len(wanted) > 1 and leaves(normalize(c.where)):
+                    own = F.when(child.compile(normalize(c.where)), own)
+                aggs.append({"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}[c.agg](own).alias(f"{name}{n}"))
+                self.extra["side", prefix, c.name, rel_name, f] = f"{name}{n}"
+            side = child.df.groupBy(F.col(child.paths[()] + rel.fk).alias(name + "id")).agg(*aggs)
+            self.df = self.df.join(side, F.col(prefix + entity.pk) == F.col(name + "id"), "left")
+        return self.extra[key]
+
+    def is_own(self, metric: Computed, field: str) -> bool:
+        """Whether a metric over this entity's rows needs their native columns alone."""
+        names = [x.on for x in leaves(normalize(metric.where))] + ([] if field == "*" else [field])
+        found = [None if n == "text" else self.resolve(n) for n in names]
+        return all(t is not None and not t.hops and t.kind in ("native", "json") for t in found)
 
     def resolve(self, path: str, *, bare_dimension: bool = False) -> Target:
         return resolve(self.model, self.entity.name, path, bare_dimension=bare_dimension)
@@ -242,6 +265,11 @@ class Relation:
             self.df = self.df.join(parents, self.key() == F.col(name), "left_semi")
 
 
+def only_one(value: Column, name: str) -> Column:
+    """The value of a group of one row; a second one would fan its entity out, so the query fails instead."""
+    return F.when(F.count("*") > 1, F.raise_error(F.lit(f"eav: {name} has several values for one entity"))).otherwise(F.max(value))
+
+
 def eav_value(kind: str, shape: str) -> Column:
     """The value column of a side table by the field's type."""
     if shape == "json":
