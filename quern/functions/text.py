@@ -8,7 +8,7 @@ alternatives: 0.1 for each position that matches. Headlines mark matches in at m
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from functools import lru_cache
 from typing import Any
 
@@ -186,9 +186,25 @@ def _over(column: Column, kind: str, f: Callable[[Any], Any]) -> Column:
     return run(column.cast("string"))
 
 
+def _may_hold(column: Column, stems: Iterable[str]) -> Column:
+    """Whether a text may hold a word with each stem, in the JVM: words begin like their stems but for two letters."""
+    held = F.lit(True)
+    for x in stems:
+        begins = {x[: max(1, len(x) - 2)], *(w for w, s in _EXCEPTIONS.items() if s == x)}
+        held = held & column.rlike("(?i)(?<![a-z0-9])(?:%s)" % "|".join(sorted(map(re.escape, begins))))
+    return held
+
+
 def matches(column: Column, query: str) -> Column:
+    """Null for a null text. Only texts that may match go to Python."""
     groups = parse_websearch(query)
-    return _over(column, "boolean", lambda x: text_matches(x, groups)) if groups else F.lit(False)
+    if not groups:
+        return F.lit(False)
+    text, may = column.cast("string"), F.lit(False)
+    for g in groups:
+        may = may | _may_hold(text, {x for negated, phrase in g if not negated for x in phrase})
+    found = _over(F.when(may, text), "boolean", lambda x: text_matches(x, groups))
+    return F.when(text.isNotNull(), F.coalesce(found, F.lit(False)))
 
 
 def query_stems(query: str) -> frozenset[str]:
@@ -197,7 +213,10 @@ def query_stems(query: str) -> frozenset[str]:
 
 def lexical_rank(column: Column, query: str) -> Column:
     stems = query_stems(query)
-    return _over(column, "double", lambda x: lexical_score(x, stems))
+    text, may = column.cast("string"), F.lit(False)
+    for x in sorted(stems):
+        may = may | _may_hold(text, [x])
+    return F.coalesce(_over(F.when(may, text), "double", lambda x: lexical_score(x, stems)), F.lit(0.0))
 
 
 def headlines(column: Column, query: str) -> Column:
@@ -205,17 +224,6 @@ def headlines(column: Column, query: str) -> Column:
     return _over(column, "string", lambda x: headline(x, stems))
 
 
-def snippet_around(text: str | None, needle: str, reach: int = 60) -> dict[str, Any] | None:
-    """The first place of ``needle``, any case, with ``reach`` characters on both sides; offsets are within the snippet."""
-    at = (text or "").lower().find(needle.lower()) if needle else -1
-    if at < 0:
-        return None
-    first, last = max(0, at - reach), min(len(text), at + len(needle) + reach)
-    before, after = "…" if first else "", "…" if last < len(text) else ""
-    start = len(before) + at - first
-    return {"text": before + text[first:last] + after, "start": start, "end": start + len(needle), "full_length": len(text)}
-
-
 def head(column: Column, most: int = 200) -> Column:
     """The first characters of a text and an ellipsis, or all of it."""
     return F.when(F.char_length(column) > most, F.concat(F.substring(column, 1, most), F.lit("…"))).otherwise(column)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -95,7 +95,18 @@ def cohort(reader: Reader, root: str, leaf: Leaf, *, per: str | None, siblings:
 
 
 def citation(reader: Reader, c: Cohort, *, boundary: bool = False, exemplars: int = 4) -> dict[str, Any]:
-    """What the cohort is, how many it holds, its best rows, the weakest one, and on request the best that is left out."""
+    """What the cohort is, how many it holds, its best rows, the weakest one, and on request the best that is left out.
+
+    Keys and similarities are computed once and kept while the citation is put together; they never hold vectors.
+    """
+    c = replace(c, scored=c.scored.persist())
+    try:
+        return _cited(reader, c, boundary, exemplars)
+    finally:
+        c.scored.unpersist()
+
+
+def _cited(reader: Reader, c: Cohort, boundary: bool, exemplars: int) -> dict[str, Any]:
     members = c.members()
     best = [F.col("similarity").desc(), F.col("key").asc()]
     stats = members.agg(F.count("*").alias("n"), F.min("similarity").alias("low")).first()

@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from quern.errors import InvalidQueryError
 from quern.functions.text import headlines, lexical_rank
 from quern.operators.relation import Reader, Relation
-from quern.operators.relevance import Embed, citation, cohort, split_topk, with_vectors
+from quern.operators.relevance import Embed, cohort, split_topk, with_vectors
+from quern.operators.relevance import citation as cite_cohort
 from quern.operators.vector import cosine
 from quern.plans.graph import resolve
-from quern.plans.language import check_rank, leaves, normalize, normalize_rank
+from quern.plans.language import Filter, Leaf, check_rank, leaves, normalize, normalize_rank
 from quern.plans.model import AGGREGATES, Entity, is_identifier
 
 PAGE, PER_GROUP, MOST_PAGE = 25, 5, 500
@@ -60,8 +61,10 @@ def default_columns(entity: Entity) -> list[str]:
 
 def select(
     reader: Reader, name: str, *, filter: Any = None, columns: Sequence[str] | None = None, sort: Sequence[Mapping[str, str]] = (), page: Mapping[str, int] | None = None, rank_by: Mapping[str, Any] | None = None,
-    window: Sequence[Mapping[str, Any]] = (), embed: Embed | None = None,
+    window: Sequence[Mapping[str, Any]] = (), citation: Mapping[str, Any] | None = None, embed: Embed | None = None,
 ) -> SelectResult:
+    """``_snippets`` among the columns shows where text conditions on the entity's own columns match; ``citation`` with a true
+    ``boundary`` asks for the best row that a cohort leaves out."""
     entity = reader.model.entity(name)
     if not entity.pk:
         raise InvalidQueryError(f"select: {name} has no key")
@@ -86,9 +89,11 @@ def select(
         if not cited:
             return None
         own = next((c for c in cohorts if c.leaf is cited[0]), None)
-        return citation(reader, own or cohort(reader, name, cited[0], per=None, whole_days=False))
+        return cite_cohort(reader, own or cohort(reader, name, cited[0], per=None, whole_days=False), boundary=bool((citation or {}).get("boundary")))
 
     outputs: dict[str, Column] = {entity.pk: relation.key()}
+    if columns is not None:
+        relation.expect(columns)
     for path in default_columns(entity) if columns is None else columns:
         if path in ("_rank", "_snippet", "_snippets"):
             continue
@@ -110,7 +115,7 @@ def select(
         score, snippet = _score(relation, rank, warnings)
         outputs["_rank"] = score
         if snippet is not None:
-            outputs["_snippet"] = snippet
+            outputs["_snippet"] = snippet  # the text until the page is known
         if rank.get("partition_by"):
             group = rank["partition_by"]
             outputs["__group"] = relation.select_path(group)
@@ -126,6 +131,10 @@ def select(
         by = F.col(f"__sort{n}")
         order.append(by.desc_nulls_last() if str(s.get("dir", s.get("direction", "asc"))).lower() == "desc" else by.asc_nulls_last())
 
+    found = text_conditions(entity, rest) if columns is not None and "_snippets" in columns else []
+    for n, leaf in enumerate(found):
+        outputs[f"__text{n}"] = relation.select_path(leaf.on)
+
     rows = relation.df.select(*(c.alias(n) for n, c in outputs.items()))
     if rank_by is not None and rank["method"] == "semantic":
         rows = rows.where("_rank is not null")
@@ -140,6 +149,10 @@ def select(
     else:
         out = rows.orderBy(*order, key.asc())
         out = out.offset(offset).limit(limit) if offset else out.limit(limit)
+    if "_snippet" in outputs:
+        shown[list(outputs).index("_snippet")] = headlines(F.col("_snippet"), rank["query"]).alias("_snippet")
+    if found:
+        shown.append(F.filter(F.array(*(snippet_around(F.col(f"__text{n}"), x) for n, x in enumerate(found))), lambda x: x.isNotNull()).alias("_snippets"))
     return SelectResult(out.select(*shown), rows if group else rows.select(key), offset, limit, entity.pk, warnings, cite, group)
 
 
@@ -157,10 +170,38 @@ def _window(relation: Relation, w: Mapping[str, Any]) -> Column:
     value = F.lit(1) if w.get("on", "*") == "*" else relation.select_path(w["on"])
     if w.get("on", "*") == "*" and w["agg"] != "count":
         raise InvalidQueryError("window: only count takes *")
-    over = Window.partitionBy(*(relation.select_path(p) for p in w.get("partition_by", ())))
+    by = [relation.select_path(p) for p in w.get("partition_by", ())]
+    agg = {"count": F.count, "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count_distinct": F.count_distinct}[w["agg"]](value)
+    if not by:  # a window over everything would bring all rows to one task
+        return relation.df.select(agg).scalar()
     if w["agg"] == "count_distinct":
-        return F.size(F.collect_set(value).over(over)).cast("long")
-    return {"count": F.count, "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}[w["agg"]](value).over(over)
+        return F.size(F.collect_set(value).over(Window.partitionBy(*by))).cast("long")
+    return agg.over(Window.partitionBy(*by))
+
+
+def text_conditions(entity: Entity, f: Filter) -> list[Leaf]:
+    """Conditions for a part of a text, on the entity's own columns; those on ``text`` stand for each searchable one."""
+    out = []
+    for x in leaves(f):
+        if x.op in ("contains", "startswith", "endswith") or x.on == "text" and x.op == "eq":
+            names = [x.on] if entity.field(x.on) else entity.searchable() if x.on == "text" else []
+            out += [Leaf(n, "contains" if x.op == "eq" else x.op, x.value) for n in names]
+    return list(dict.fromkeys(x for x in out if isinstance(x.value, str) and x.value))
+
+
+def snippet_around(text: Column, leaf: Leaf, reach: int = 60) -> Column:
+    """``column, snippet, match, full_length``: where the condition matches, with ``reach`` characters on both sides.
+
+    ``match`` holds offsets within the snippet, an ellipsis counted where something is left out; null if nothing matches.
+    """
+    n, size = len(leaf.value), F.char_length(text)
+    low, part = F.lower(text), F.lit(leaf.value.lower())
+    at = {"startswith": F.when(F.startswith(low, part), 1), "endswith": F.when(F.endswith(low, part), size - n + 1)}.get(leaf.op, F.nullif(F.instr(low, leaf.value.lower()), F.lit(0)))
+    first, end = F.greatest(at - reach, F.lit(1)), F.least(at + n + reach - 1, size)
+    before = F.when(first > 1, "…").otherwise("")
+    snippet = F.concat(before, F.substring(text, first, end - first + 1), F.when(end < size, "…").otherwise(""))
+    start = at - first + F.char_length(before)
+    return F.when(at.isNotNull(), F.struct(F.lit(leaf.on).alias("column"), snippet.alias("snippet"), F.struct(start.alias("start"), (start + n).alias("end")).alias("match"), size.alias("full_length")))
 
 
 def _ranking(entity: Entity, raw: Mapping[str, Any], embed: Embed | None) -> dict[str, Any]:
@@ -192,7 +233,7 @@ def _score(relation: Relation, rank: Mapping[str, Any], warnings: list[str]) ->
     if rank.get("min_score") is not None:
         warnings.append("rank_by: lexical scores aren't calibrated; min_score depends on the query")
     text = relation.column(target)
-    return lexical_rank(text, rank["query"]), headlines(text, rank["query"])
+    return lexical_rank(text, rank["query"]), text
 
 
 def select_many(reader: Reader, requests: Sequence[Mapping[str, Any]], embed: Embed | None = None) -> list[SelectResult]:

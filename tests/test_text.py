@@ -36,8 +36,16 @@ def test_rank_and_headlines(spark):
 
 
 def test_snippets(spark):
-    found = t.snippet_around("x" * 100 + "Needle" + "y" * 100, "needle")
-    assert found["text"][found["start"] : found["end"]] == "Needle" and found["text"][0] == found["text"][-1] == "…" and found["full_length"] == 206
-    assert t.snippet_around("abc", "z") is None and t.snippet_around(None, "z") is None
     df = spark.createDataFrame([("a" * 201,), ("b",)], "x string")
     assert [r[0] for r in df.select(t.head(df.x)).collect()] == ["a" * 200 + "…", "b"]
+
+
+def test_texts_are_sorted_out_before_python(spark):
+    """What the JVM lets through holds all that matches."""
+    words = ["dying", "die", "skies", "relational", "hopping", "hoping", "happily", "news", "generously", "flies", "agreed", "sensibilities", "Ünï", "x9"]
+    df = spark.createDataFrame([(w,) for w in words] + [("they were DYING!",), ("undie",), (None,), ("",)], "x string")
+    for w in words[:12]:
+        query = w if t.lexemes(w) else "zzz"
+        got = [tuple(r) for r in df.select("x", t.matches(df.x, query), t.lexical_rank(df.x, query)).collect()]
+        groups = t.parse_websearch(query)
+        assert got == [(x, t.text_matches(x, groups), t.lexical_score(x, t.query_stems(query))) for (x, *_) in got]
