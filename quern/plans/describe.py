@@ -42,7 +42,7 @@ def describe(model: SemanticModel, name: str | None = None) -> dict[str, Any]:
 def describe_dimensions(model: SemanticModel, name: str) -> list[dict[str, Any]]:
     """``value_domain`` is declared where the options are listed, else open."""
     model.entity(name)
-    return [{"name": n, "type": f.type, "time": f.time, "value_domain": "declared" if f.options else "open", "options": list(f.options) if f.options else None} for n, f in conformed_dimensions(model, name)]
+    return [{"name": n, "path": n, "column": f.name, "owner": owner, "via": "local" if owner == name else "to-one", "type": f.type, "time": f.time, "value_domain": "declared" if f.options else "open", "options": list(f.options) if f.options else None} for n, f, owner in conformed_dimensions(model, name)]
 
 
 def describe_measures(model: SemanticModel, name: str) -> list[dict[str, Any]]:

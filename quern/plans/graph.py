@@ -100,14 +100,20 @@ def resolve(model: SemanticModel, source: str, path: str, *, bare_dimension: boo
     raise InvalidQueryError(f"unknown field: {path} on {source}")
 
 
-def conformed_dimensions(model: SemanticModel, source: str) -> list[tuple[str, Field]]:
-    """Own dimensions, and those of every entity that exactly one to-one path reaches, under dotted names."""
-    entity = model.entity(source)
-    own = [*entity.fields, *(f for _, f in (entity.eav.fields.values() if entity.eav else ()))]
-    found = [(f.name, f) for f in own if f.role == "dimension" and f.visible and f.type not in ("vector",)]
+def conformed_dimensions(model: SemanticModel, source: str) -> list[tuple[str, Field, str]]:
+    """(path, field, owner): own dimensions, and those of every entity that exactly one to-one path reaches, dotted.
+
+    EAV fields are dimensions like native ones.
+    """
+
+    def own(entity: Entity) -> list[Field]:
+        virtual = [entity.virtual(n)[1] for n in (entity.eav.fields if entity.eav else ()) if entity.virtual(n)]
+        return [f for f in (*entity.fields, *virtual) if f.role == "dimension" and f.visible and f.type != "vector"]
+
+    found = [(f.name, f, source) for f in own(model.entity(source))]
     for other in model.entities.values():
         if other.name != source and len(to_one_paths(model, source, other.name)) == 1:
-            found += [(f"{other.name}.{f.name}", f) for f in other.fields if f.role == "dimension" and f.visible and f.type != "vector"]
+            found += [(f"{other.name}.{f.name}", f, other.name) for f in own(other)]
     return found
 
 

@@ -38,14 +38,21 @@ ALL = And(())
 # Operators and the other spellings that mean them.
 OPERATORS = ("eq", "neq", "gt", "gte", "lt", "lte", "in", "nin", "between", "contains", "startswith", "endswith", "matches", "is_null", "is_not_null", "relevant")
 ALIASES = {
-    "equals": "eq", "=": "eq", "==": "eq", "ne": "neq", "not": "neq", "not_equals": "neq", "notEquals": "neq", "!=": "neq",
+    "equals": "eq", "=": "eq", "==": "eq", "ne": "neq", "not_equals": "neq", "notEquals": "neq", "!=": "neq",
     ">": "gt", ">=": "gte", "<": "lt", "<=": "lte", "not_in": "nin", "notIn": "nin", "like": "contains", "ilike": "contains",
     "starts_with": "startswith", "startsWith": "startswith", "ends_with": "endswith", "endsWith": "endswith", "search": "matches",
     "isNull": "is_null", "isNotNull": "is_not_null", "not_null": "is_not_null",
 }
 RELEVANT_ALIASES = {"min_score": "threshold", "cutoff": "threshold", "topK": "top_k", "k": "top_k", "per_group": "per", "group_by": "per", "partition_by": "per"}
-RANK_ALIASES = {"field": "on", "column": "on", "text": "query", "topK": "limit", "top_k": "limit", "k": "limit", "minScore": "min_score", "threshold": "min_score", "per": "partition_by", "per_group": "partition_by", "group_by": "partition_by", "partitionBy": "partition_by"}
-METHOD_ALIASES = {"semantic": "semantic", "vector": "semantic", "embedding": "semantic", "similarity": "semantic", "lexical": "lexical", "keyword": "lexical", "text": "lexical", "fts": "lexical", "bm25": "lexical"}
+# The same of a ranking's keys and methods, in lower case.
+RANK_ALIASES = {
+    "field": "on", "column": "on", "q": "query", "text": "query", "search": "query", "embedding": "vector", "query_vector": "vector", "queryvector": "vector", "mode": "method",
+    "top_k": "limit", "topk": "limit", "k": "limit", "minscore": "min_score", "threshold": "min_score",
+    "partitionby": "partition_by", "group_by": "partition_by", "groupby": "partition_by", "per": "partition_by", "per_group": "partition_by", "pergroup": "partition_by",
+}
+SEMANTIC = ("semantic", "similarity", "similar", "cosine", "cosine_similarity", "cosinesimilarity", "vector", "embedding", "embeddings", "nearest", "knn")
+LEXICAL = ("lexical", "keyword", "keywords", "fts", "full_text", "fulltext", "text", "ts", "tsvector", "bm25")
+METHOD_ALIASES = dict.fromkeys(SEMANTIC, "semantic") | dict.fromkeys(LEXICAL, "lexical")
 _LOGIC = ("and", "or", "not")
 
 
@@ -161,10 +168,16 @@ def both(*filters: Filter) -> Filter:
     return items[0] if len(items) == 1 else And(items)
 
 
+def _plain(name: Any) -> str:
+    """A name without quotes and blanks around it, in lower case."""
+    return str(name).strip().strip("\"'").strip().lower()
+
+
 def normalize_rank(raw: Mapping[str, Any]) -> dict[str, Any]:
     """Known keys of a ranking under their own names, numbers from numeric strings; unknown keys are dropped."""
     out: dict[str, Any] = {}
     for key, value in raw.items():
+        key = _plain(key)
         key = RANK_ALIASES.get(key, key)
         if key not in ("on", "query", "vector", "method", "limit", "min_score", "partition_by"):
             continue
@@ -174,9 +187,9 @@ def normalize_rank(raw: Mapping[str, Any]) -> dict[str, Any]:
             except ValueError:
                 raise InvalidQueryError(f"rank_by: {key} is no number") from None
         if key == "method":
-            if str(value).lower() not in METHOD_ALIASES:
+            if _plain(value) not in METHOD_ALIASES:
                 raise InvalidQueryError(f"rank_by: unknown method {value!r}")
-            value = METHOD_ALIASES[str(value).lower()]
+            value = METHOD_ALIASES[_plain(value)]
         out[key] = value
     return out
 

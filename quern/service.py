@@ -7,6 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quern.errors import InvalidQueryError, ScopeError
 from quern.operators import compare as comparing
@@ -48,14 +49,21 @@ def tenant_scope(tenant: Callable[[], Any], column: Mapping[str, str] | str, ten
 class Engine:
     """One requester's view. ``scope``: UNSCOPED, or a function from entity name to a filter, TENANT_GLOBAL or None."""
 
-    def __init__(self, spark: SparkSession, model: SemanticModel, *, scope: ScopeFor | Unscoped | None = None, embed: Embed | None = None, viewing_scope: str | None = None):
+    def __init__(self, spark: SparkSession, model: SemanticModel, *, scope: ScopeFor | Unscoped | None = None, embed: Embed | None = None, viewing_scope: str | None = None, expose: Mapping[str, Sequence[str]] | None = None):
+        """``expose``: the native columns of each entity that results and catalogs show; None shows all."""
         if scope is None:
             raise ScopeError("scope: choose one, or UNSCOPED")
-        self.model, self.embed, self.viewing_scope = model, embed, viewing_scope
+        self.model, self.embed, self.viewing_scope, self.expose = model, embed, viewing_scope, expose
         self.reader = Reader(spark, model, None if isinstance(scope, Unscoped) else scope)
 
     def describe(self, entity: str | None = None) -> dict[str, Any]:
-        return describing.describe(self.model, entity)
+        found = describing.describe(self.model, entity)
+        for d in [found] if entity is not None else found.values():
+            d["fields"] = [f for f in d["fields"] if f["source"] != "native" or self._shows(d["entity"], f["name"])]
+        return found
+
+    def _shows(self, entity: str, column: str) -> bool:
+        return self.expose is None or column == self.model.entity(entity).pk or column in self.expose.get(entity, ())
 
     def describe_conformed_dimensions(self, entity: str) -> list[dict[str, Any]]:
         return describing.describe_dimensions(self.model, entity)
@@ -70,7 +78,18 @@ class Engine:
         return describing.diagnose(self.model)
 
     def select(self, entity: str, **options: Any) -> selecting.SelectResult:
-        return selecting.select(self.reader, entity, embed=self.embed, **options)
+        out = selecting.select(self.reader, entity, embed=self.embed, **options)
+        if self.expose is not None:
+            out.df = out.df.select(*(F.col(f"`{c}`") for c in out.df.columns if self._public(entity, c)))
+        return out
+
+    def _public(self, entity: str, path: str) -> bool:
+        """Whether a column of a result may be shown: native ones by their entity's list, all others as they are declared."""
+        try:
+            target = resolve(self.model, entity, path)
+        except InvalidQueryError:  # a rank, a snippet or a window
+            return True
+        return target.kind not in ("native", "json") or self._shows(target.entity.name, target.name)
 
     def select_many(self, requests: Sequence[Mapping[str, Any]]) -> list[tuple[list[Any], int]]:
         """Ids and totals of several selects, run side by side."""
@@ -79,10 +98,15 @@ class Engine:
             return list(pool.map(lambda r: (r.ids(), r.total()), results))
 
     def fetch(self, entity: str, ids: Sequence[Any] | DataFrame, **options: Any) -> DataFrame:
-        return fetching.fetch(self.reader, entity, ids, embed=self.embed, **options)
+        rows = fetching.fetch(self.reader, entity, ids, embed=self.embed, **options)
+        if self.expose is None:
+            return rows
+        allowed = {e.name: [e.pk, *self.expose.get(e.name, ()), *(c.name for c in e.computed), *(e.eav.fields if e.eav else ())] for e in self.model.entities.values()}
+        return fetching.project(rows, self.model.entity(entity), allowed, self.model.entities)
 
     def measure(self, entity: str, **options: Any) -> measuring.MeasureResult:
         self.model.entity(entity)
+        boundary = bool((options.pop("citation", None) or {}).get("boundary"))
         tree = with_vectors(normalize(options.pop("filter", None)), self.embed)
         for leg in [x for x in options.get("measures", ()) if isinstance(x, Mapping)]:
             if any(x.op == "relevant" for x in leaves(normalize(leg.get("where")))):
@@ -101,7 +125,7 @@ class Engine:
         cited = [x for x in leaves(tree) if x.op in ("sim_gte", "sim_topk")]
         if cited:
             own = next((c for leaf, c in cohorts if leaf is cited[0]), None)
-            out.cite = lambda: citation(self.reader, own or cohort(self.reader, entity, cited[0], per=None, whole_days=True))
+            out.cite = lambda: citation(self.reader, own or cohort(self.reader, entity, cited[0], per=None, whole_days=True), boundary=boundary)
         return out
 
     def _hops(self, root: str, source: str, leaf: Leaf) -> tuple:
@@ -110,4 +134,44 @@ class Engine:
         return target.hops if source == root else measuring.carried(self.model, root, source, leaf.on).hops
 
     def compare(self, entity: str, **options: Any) -> comparing.CompareResult:
-        return comparing.compare(lambda **o: self.measure(entity, **o), **options)
+        return comparing.compare(lambda **o: self.measure(entity, **o), plain=lambda m: comparing.plain_measure(self.model, entity, m), **options)
+
+
+class Surface:
+    """Engines by requester. A request may narrow itself to what one user sees: ``scope={"as": "user", "user": ...}``.
+
+    ``scope_for(requester, user)`` gives the scope, ``resolve_user(requester, value)`` the user that an id or address means, or
+    None; users that aren't known are refused rather than the scope widened.
+    """
+
+    VERBS = ("select", "fetch", "measure", "compare")
+
+    def __init__(self, spark: SparkSession, model: SemanticModel, *, requester: Callable[[], str], scope_for: Callable[[str, str | None], ScopeFor | Unscoped], resolve_user: Callable[[str, str], str | None] | None = None, list_users: Callable[[str], Sequence[Any]] | None = None, viewing_scope_for: Callable[[str, str | None], str] | None = None, **options: Any):
+        self.spark, self.model, self.options = spark, model, options
+        self.requester, self.scope_for, self.resolve_user, self.users, self.viewing_scope_for = requester, scope_for, resolve_user, list_users, viewing_scope_for
+        self.engines: dict[tuple[str, str | None, str], Engine] = {}
+
+    def list_users(self) -> list[Any]:
+        """Users that the requester may narrow a request to."""
+        return list(self.users(self.requester())) if self.users else []
+
+    def engine(self, scope: Mapping[str, Any] | None = None) -> Engine:
+        requester, user = self.requester(), None
+        if (scope or {}).get("as", "org") not in ("org", "user"):
+            raise InvalidQueryError("scope: as is org or user")
+        if scope and scope.get("as") == "user":
+            if not scope.get("user"):
+                raise InvalidQueryError("scope: as a user needs the user")
+            user = self.resolve_user(requester, scope["user"]) if self.resolve_user else None
+            if user is None:
+                raise InvalidQueryError(f"scope: {scope['user']} is no known user")
+        viewing = self.viewing_scope_for(requester, user) if self.viewing_scope_for else "personal"
+        key = (requester, user, viewing)
+        if key not in self.engines:
+            self.engines[key] = Engine(self.spark, self.model, scope=self.scope_for(requester, user), viewing_scope=viewing, **self.options)
+        return self.engines[key]
+
+    def run(self, verb: str, *args: Any, scope: Mapping[str, Any] | None = None, **options: Any) -> Any:
+        if verb not in self.VERBS:
+            raise InvalidQueryError(f"surface: unknown verb {verb}")
+        return getattr(self.engine(scope), verb)(*args, **options)

@@ -132,7 +132,7 @@ def test_results_know_more(engine):
     assert groups.total() == 10 and groups.df.count() == 20
     assert engine.select_many([{"entity": "region"}, {"entity": "nation", "page": {"limit": 3}}]) == [([0, 1, 2, 3, 4], 5), ([0, 1, 2], 25)]
     c = engine.compare("orders", variants=[{"label": "none", "filter": {"o_orderstatus": "Z"}}, {"label": "all"}], measures=["orders_count"], group_by=["o_orderstatus"])
-    assert any("returned 0 rows" in w for w in c.warnings()) and any("undefined" in w for w in c.warnings())
+    assert any("is empty" in w for w in c.warnings()) and any("nothing to divide by" in w for w in c.warnings())
     sep = engine.compare("orders", variants=[{"label": "a"}, {"label": "b"}], measures=["orders_count"], delivery="separate")
     assert sep.df is None and sep.variants["a"].df.first() == sep.variants["b"].df.first()
 
@@ -193,3 +193,80 @@ def test_eav_definitions_and_registrations(spark):
 def test_cosine(spark):
     df = spark.createDataFrame([([1.0, 0.0],), ([0.0, 0.0],), (None,), ([1.0],), ([3.0, 4.0],)], "v array<float>")
     assert [r[0] for r in df.select(F.round(cosine(F.col("v"), [3, 4]), 6)).collect()] == [0.6, None, None, None, 1.0]
+
+
+def test_snippets_of_text_conditions(engine):
+    rows = engine.select("part", columns=["p_size", "_snippets"], filter={"p_name": {"contains": "RING"}}, page={"limit": 20}).df.collect()
+    assert rows and all(len(r["_snippets"]) == 1 for r in rows)
+    for r in rows:
+        s = r["_snippets"][0]
+        assert s["column"] == "p_name" and s["snippet"][s["match"]["start"] : s["match"]["end"]].lower() == "ring" and s["full_length"] == len(s["snippet"].strip("…"))
+    magic = engine.select("part", columns=["_snippets"], filter={"text": {"contains": "brand#2"}}, page={"limit": 5}).df.collect()
+    assert all("p_brand" in [s["column"] for s in r["_snippets"]] for r in magic)
+    ends = engine.select("part", columns=["p_name", "_snippets"], filter={"and": [{"p_name": {"startswith": "small"}}, {"p_name": {"endswith": "widget"}}]}, page={"limit": 5}).df.collect()
+    assert all([s["match"]["start"] for s in r["_snippets"]] == [0, len(r["p_name"]) - 6] for r in ends)
+    assert engine.select("part", columns=["_snippets"], page={"limit": 1}).df.columns == ["p_partkey"]
+
+
+def test_one_pass_where_one_is_enough(engine):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    variants = [{"label": "a", "filter": {"o_orderstatus": "F"}}, {"label": "b", "filter": {"o_orderstatus": "O"}}]
+    found = engine.compare("orders", variants=variants, measures=["orders_count"], group_by=["o_orderpriority"])
+    assert plan(found.df).count("Relation [") == 1
+    assert plan(engine.compare("orders", variants=variants, measures=["orders_count"], group_by=["o_orderpriority"], having={"orders_count": {"gt": 1}}).df).count("Relation [") == 2
+    metrics = engine.fetch("customer", engine.reader.table("customer").select("c_custkey")).select("order_count", "finished_orders", "last_order_at", "spent")
+    assert plan(metrics).count("o_custkey") > 0 and plan(metrics).count("Aggregate [o_custkey") <= 1
+    whole = engine.select("orders", window=[{"agg": "count", "on": "*", "as": "n"}, {"agg": "sum", "on": "o_totalprice", "partition_by": [], "as": "s"}], page={"limit": 3}).df
+    assert "Window" not in plan(whole) and len({tuple(r)[-2:] for r in whole.collect()}) == 1
+
+
+def test_shown_columns_and_requesters(spark, engine):
+    from quern.errors import InvalidQueryError
+    from quern.service import UNSCOPED, Engine, Surface
+
+    shown = Engine(spark, engine.model, scope=UNSCOPED, expose={"customer": ["c_name"], "orders": ["o_totalprice"]})
+    assert shown.select("customer", columns=["c_name", "c_acctbal"], page={"limit": 1}).df.columns == ["c_custkey", "c_name"]
+    assert shown.select("orders", columns=["customer.c_name", "customer.c_acctbal", "o_totalprice"], page={"limit": 1}).df.columns == ["o_orderkey", "customer.c_name", "o_totalprice"]
+    assert "c_acctbal" not in [f["name"] for f in shown.describe("customer")["fields"]] and "order_count" in [f["name"] for f in shown.describe("customer")["fields"]]
+    rows = shown.fetch("customer", [1, 2], expand=["orders"])
+    assert "c_acctbal" not in rows.columns and {"c_custkey", "c_name", "order_count", "orders"} <= set(rows.columns)
+    assert "o_orderstatus" not in rows.schema["orders"].dataType.elementType.fieldNames()
+
+    seen = []
+    surface = Surface(spark, engine.model, requester=lambda: "r", scope_for=lambda r, u: seen.append((r, u)) or (lambda e: {"c_custkey": int(u)} if u else {"c_custkey": {"lt": 5}}), resolve_user=lambda r, v: {"x@y": "3"}.get(v), list_users=lambda r: ["3"])
+    count = {"measures": [{"agg": "count", "on": "*", "as": "n"}]}
+    assert surface.run("measure", "customer", **count).df.first()["n"] > 1
+    assert surface.run("measure", "customer", scope={"as": "user", "user": "x@y"}, **count).df.first()["n"] == 1
+    surface.run("measure", "customer", scope={"as": "org"}, **count)
+    assert seen == [("r", None), ("r", "3")] and surface.list_users() == ["3"]
+    for bad in ({"as": "user"}, {"as": "user", "user": "nobody"}, {"as": "team"}):
+        with pytest.raises(InvalidQueryError):
+            surface.run("select", "customer", scope=bad)
+
+
+def test_values_that_repeat_are_refused(spark, engine, monkeypatch):
+    from dataclasses import replace
+
+    part = engine.model.entity("part")
+    monkeypatch.setitem(engine.model.entities, "part", replace(part, eav=replace(part.eav, values=lambda s, f=part.eav.values: f(s).union(f(s)))))
+    with pytest.raises(Exception, match="several values"):
+        engine.measure("part", measures=[{"agg": "count", "on": "*", "as": "n"}], group_by=["brand"]).df.collect()
+
+
+def test_more_of_what_requests_may_say(engine):
+    ranked = [engine.select("embeddings", columns=["label"], rank_by=r).df.collect() for r in ({"on": "embedding", "query": "vec:7", "limit": 3}, {"field": "embedding", "q": "vec:7", "topK": 3, "mode": "Cosine"}, {'"search"': "vec:7", "K": "3", "method": "similar"})]
+    assert ranked[0] == ranked[1] == ranked[2]
+    vector = list(engine.embed("vec:7"))
+    assert engine.select("embeddings", columns=["label"], rank_by={"query_vector": vector, "k": 3}).df.collect() == ranked[0]
+    dims = {d["path"]: d for d in engine.describe_conformed_dimensions("lineitem")}
+    assert dims["part.brand"]["owner"] == "part" and dims["part.brand"]["via"] == "to-one" and dims["l_returnflag"]["via"] == "local"
+    cited = engine.select("documents", filter={"text": {"relevant": {"query": "vec:7", "top_k": 5}}}, citation={"boundary": True}).citation()
+    assert cited["boundary"]["highest_excluded"]["similarity"] <= cited["boundary"]["lowest_included"]["similarity"]
+    from quern.errors import InvalidQueryError
+
+    two = [{"label": "a"}, {"label": "b"}]
+    for bad in ({"limit": 10**9}, {"per_variant_top": {"by": "orders_count", "n": 10**6}}):
+        with pytest.raises(InvalidQueryError):
+            engine.compare("orders", variants=two, measures=["orders_count"], **bad)
+    with pytest.raises(InvalidQueryError):
+        engine.measure("orders", measures=["orders_count"], filter={"o_orderstatus": {"not": "F"}})

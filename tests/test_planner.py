@@ -38,7 +38,7 @@ def test_bare_dimension_of_two_entities_is_ambiguous():
 def test_grains_and_dimensions():
     assert [grain_rank(M, n) for n in ("region", "nation", "customer", "supplier", "part", "orders", "events", "lineitem")] == [0, 1, 2, 2, 0, 3, 3, 4]
     assert group_grain(M, "orders", ["region.r_name", "customer.c_mktsegment"]) == "customer"
-    names = [n for n, _ in conformed_dimensions(M, "lineitem")]
+    names = [n for n, *_ in conformed_dimensions(M, "lineitem")]
     assert "orders.o_orderstatus" in names and "part.p_brand" in names and "nation.n_name" not in names and "l_tax" not in names
 
 
