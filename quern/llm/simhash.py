@@ -316,20 +316,22 @@ def candidate_links(nodes: DataFrame) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(links, "a long, b long").distinct()
 
 
-def similar_texts(links: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
-    """The ``links`` (a, b) whose texts (``version, text``, one row each) have sets of shingles of that Jaccard similarity.
+def similar_texts(links: DataFrame, texts: DataFrame, owners: DataFrame, similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
+    """The ``links`` (a, b) whose texts have sets of shingles of that Jaccard similarity.
 
-    Only texts that a link names are read again. Two texts without words are alike.
+    ``texts`` are ``doc_id, version, text``, ``owners`` a ``doc_id`` for each ``version``: only texts that a link names are
+    read again, and of many copies that of the owner. Two texts without words are alike.
     """
     links = written(links, "candidates")
-    named = links.select(F.col("a").alias("version")).union(links.select("b")).distinct()
+    named = links.select(F.col("a").alias("version")).union(links.select("b")).distinct().join(owners, "version").select(F.col("version").alias("v"), F.col("doc_id").alias("d"))
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
             rows = [np.unique(np.array(shingle_hashes(x, words), np.uint64)).view(np.int64) for x in text_bytes(batch)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], names=["version", "own"])
 
-    sets = written(texts.join(named, "version", "left_semi").dropDuplicates(["version"]).mapInArrow(shingles, "version long, own array<long>"), "shingles")
+    own = texts.join(named, (texts["version"] == named["v"]) & texts["doc_id"].eqNullSafe(named["d"]), "left_semi")
+    sets = written(own.select("version", "text").dropDuplicates(["version"]).mapInArrow(shingles, "version long, own array<long>"), "shingles")
     one, two = sets.select(F.col("version").alias("a"), F.col("own").alias("x")), sets.select(F.col("version").alias("b"), F.col("own").alias("y"))
     both = links.join(one, "a").join(two, "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("same"), (F.size("x") + F.size("y")).alias("total"))
     return both.where((F.col("total") == 0) | (F.col("same") / (F.col("total") - F.col("same")) >= similarity)).select("a", "b")
@@ -357,8 +359,8 @@ def keep_one(docs: DataFrame, *, similarity: float = SIMILARITY, words: int = WO
     prints = docs.select(F.col(id_col).alias("doc_id"), digest.alias("version"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, version long, low long, high long")
     named = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id")
     nodes = written(prints.groupBy("version").agg(F.min(named).alias("first"), F.min("low").alias("low"), F.min("high").alias("high")), "prints")
-    texts = docs.select(digest.alias("version"), F.col(text_col).alias("text"))
-    root = components(similar_texts(candidate_links(nodes), texts, similarity, words))
+    texts = docs.select(F.col(id_col).alias("doc_id"), digest.alias("version"), F.col(text_col).alias("text"))
+    root = components(similar_texts(candidate_links(nodes), texts, nodes.select("version", "first.doc_id"), similarity, words))
     group = nodes.join(root, nodes["version"] == root["node"], "left").select("version", "first", F.coalesce("root", "version").alias("root"))
     chosen = group.groupBy("root").agg(F.min(F.struct("first", "version")).alias("one")).select("one.first.doc_id", "one.version")
     chosen = written(chosen, "chosen")  # its join below can then be split where many rows repeat one id and text
