@@ -1,10 +1,11 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 A text is cut where a gear rolling hash of its last 32 bytes has nine leading zeros, so texts that share a passage share
-its chunks wherever it stands. A worker encodes a chunk once and remembers it (in bounded memory). A cut may fall inside a
-word or a character: a chunk keeps the bytes before its first and after its last white space apart, and every join is
-repaired by encoding the bytes that meet there anew, reaching on until white space stands on both sides. The tokenizer
-splits at white space before it merges, so from there on the ids agree with those of the whole text exactly.
+its chunks wherever it stands. A worker encodes a chunk once and remembers it (in bounded memory; those that were met again
+are kept longest). A cut may fall inside a word or a character: a chunk keeps the bytes before its first and after its last
+white space apart, and every join is repaired by encoding the bytes that meet there anew, reaching on until white space stands
+on both sides. Each repaired join is then encoded by the library together with the pieces beside it; where that disagrees with
+the ids put together, the whole text is encoded instead.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from quern.llm.pieces import PieceTable, load
 #: Leading zero bits at a cut: chunks have 2^BITS bytes on average.
 BITS = 9
 #: Pieces and chunks that a worker remembers at most.
-MOST_PIECES, MOST_CHUNKS = 150_000, 8_000
+MOST_PIECES, MOST_CHUNKS = 300_000, 40_000
 
 #: ASCII white space as ``bytes.split`` takes it.
 _WHITE = frozenset(b" \t\n\r\x0b\x0c")
@@ -37,7 +38,8 @@ class ChunkEncoder:
         self.table = PieceTable(load(path), most_pieces, lower=True, decode=True)
         self.most_chunks, self.bits = most_chunks, bits
         self.chunks: dict[bytes, list] = {}
-        self.reused = 0
+        self.again: set[bytes] = set()
+        self.reused = self.bytes_reused = self.joins = self.disagreed = 0
 
     def chunk(self, data: bytes, todo: list[bytes], fresh: list[list]) -> list:
         """[bytes before the first white space, whole pieces, bytes after the last white space] of a chunk.
@@ -46,6 +48,8 @@ class ChunkEncoder:
         """
         if found := self.chunks.get(data):
             self.reused += 1
+            self.bytes_reused += len(data)
+            self.again.add(data)
             return found
         pieces = data.split()
         head = pieces.pop(0) if pieces and data[0] not in _WHITE else b""
@@ -77,15 +81,57 @@ class ChunkEncoder:
 
     def join(self, piece: bytes, parts: list[list], todo: list[bytes], fresh: list[list]) -> None:
         """What meets where chunks join is one piece, encoded anew."""
-        entry = [b"", slice(len(todo), len(todo) + 1), b""]
+        entry = [b"", slice(len(todo), len(todo) + 1), None]
         todo.append(piece)
         fresh.append(entry)
         parts.append(entry)
 
+    def room(self) -> None:
+        """Forgets pieces and chunks beyond their bounds; a chunk goes with any of its pieces."""
+        moved = self.table.room()
+        if len(self.chunks) > self.most_chunks:
+            kept = self.again if len(self.again) <= self.most_chunks // 2 else ()
+            self.chunks = {x: self.chunks[x] for x in kept if x in self.chunks}
+            self.again = set()
+        if moved is not None:
+            for data, entry in list(self.chunks.items()):
+                if entry[1] is not None:
+                    rows = moved[entry[1]]
+                    if len(rows) and rows.min() < 0:
+                        del self.chunks[data]
+                    else:
+                        entry[1] = rows
+
+    def disagree(self, plans: list[list[list]], keys: list[bytes]) -> set[int]:
+        """Texts with a repaired join that the library encodes otherwise, together with the pieces beside it.
+
+        ``keys``: pieces by row.
+        """
+        where, windows, rows = [], [], []
+        for n, parts in enumerate(plans):
+            for i, entry in enumerate(parts):
+                if entry[2] is None and len(parts) > 1:
+                    own = [*(parts[i - 1][1][-1:] if i else ()), *entry[1], *(parts[i + 1][1][:1] if i + 1 < len(parts) else ())]
+                    where.append(n)
+                    windows.append(b" ".join(map(keys.__getitem__, own)).decode())
+                    rows.append(own)
+        if not where:
+            return set()
+        sizes, flat = self.table.ids(np.concatenate(rows))
+        ends = np.cumsum(sizes)[np.cumsum([len(x) for x in rows]) - 1].tolist()
+        bad, at = set(), 0
+        flat = flat.tolist()
+        for n, ids, end in zip(where, self.table.library(windows), ends, strict=True):
+            if ids != flat[at:end]:
+                bad.add(n)
+            at = end
+        self.joins += len(where)
+        self.disagreed += len(bad)
+        return bad
+
     def __call__(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, bytes]]:
         """Token ids and decoded bytes of each text."""
-        if not self.table.room() or len(self.chunks) > self.most_chunks:
-            self.chunks.clear()
+        self.room()
         ends = np.cumsum([len(x) for x in texts])
         cuts = mask_cuts(np.frombuffer(b"".join(texts), np.uint8), self.bits)
         todo: list[bytes] = []
@@ -98,7 +144,12 @@ class ChunkEncoder:
         rows = self.table.find(todo)
         for entry in fresh:
             entry[1] = rows[entry[1]]
-        for parts in plans:
+        bad = self.disagree(plans, list(self.table.rows))
+        for n, parts in enumerate(plans):
+            if n in bad:
+                ids = self.table.library([texts[n].decode()])[0]
+                yield np.array(ids, np.uint32), self.table.tokenizer.decode(ids, skip_special_tokens=False).encode()
+                continue
             own = np.concatenate([x[1] for x in parts]) if parts else np.empty(0, np.int64)
             sizes, ids = self.table.ids(own)
             # a piece may have no ids at all (characters that the normaliser drops); it then adds nothing between blanks

@@ -61,11 +61,11 @@ class PieceTable:
         self.used = 0
         self.decoded: list[bytes] = []
 
-    def room(self) -> bool:
-        """False if rows were forgotten and the others renumbered, so that row numbers kept elsewhere no longer hold."""
+    def room(self) -> np.ndarray | None:
+        """None, or, if rows were forgotten and the others renumbered, the new number of each old row, -1 without one."""
         n = len(self.rows)
         if n <= self.most:
-            return True
+            return None
         kept = np.flatnonzero(self.uses[:n] > max(1, np.partition(self.uses[:n], n - self.most // 2)[n - self.most // 2]))
         keys, decoded = list(self.rows), self.decoded
         sizes, flat = self.ids(kept)
@@ -74,7 +74,9 @@ class PieceTable:
         self.add([keys[i] for i in kept.tolist()], sizes, flat)
         self.uses[: len(kept)] = uses
         self.decoded = [decoded[i] for i in kept.tolist()] if self.decode else []
-        return False
+        moved = np.full(n, -1)
+        moved[kept] = np.arange(len(kept))
+        return moved
 
     def library(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]

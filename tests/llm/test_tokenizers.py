@@ -62,7 +62,7 @@ def test_null_ids_and_the_least_id_stay_apart(spark):
     rows = [(None, "a"), (-(2**63), "b c"), (None, None), (5, "b\nc")]
     found = token_ids.token_files(spark.createDataFrame(rows, "doc_id long, text string"), BYTES).orderBy("start").collect()
     assert [r["doc_id"] for r in found] == [None, None, -(2**63), 5]
-    assert [r["n_tokens"] for r in found] == [1, 2, 3, 4]
+    assert sorted(r["n_tokens"] for r in found[:2]) == [1, 2] and [r["n_tokens"] for r in found[2:]] == [3, 4]
 
 
 def test_chunks_give_the_librarys_ids_and_text(word_library):
@@ -133,3 +133,28 @@ def test_round_trip_query(spark, word_library):
         assert (r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) == (doc, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
         assert r.ids == ids.tolist() and r.decoded == decoded
     assert bpe_reuse.encode_decode(docs.limit(0), WORDS).count() == 0
+
+
+bpe_reuse_join = bpe_reuse.ChunkEncoder.join
+
+
+def test_joins_that_disagree_are_encoded_whole(word_library, monkeypatch):
+    batch = [" ".join(texts(5, 30)), "plain words " * 80]
+    encode = bpe_reuse.ChunkEncoder(WORDS, bits=4)
+    same_round(encode, word_library, batch)
+    assert encode.joins > 50 and encode.disagreed == 0
+    monkeypatch.setattr(bpe_reuse.ChunkEncoder, "join", lambda self, piece, parts, todo, fresh: bpe_reuse_join(self, b"x" + piece, parts, todo, fresh))
+    wrong = bpe_reuse.ChunkEncoder(WORDS, bits=4)
+    monkeypatch.setattr(wrong, "disagree", lambda plans, keys: {n for n, p in enumerate(plans) if p})
+    same_round(wrong, word_library, batch)  # what was put together is not used then
+
+
+def test_chunks_outlive_forgetting(word_library):
+    """Chunks that are met again stay when others go, and their pieces are renumbered with the table."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    shared = " ".join(word() for _ in range(60))
+    encode = bpe_reuse.ChunkEncoder(WORDS, most_pieces=400, most_chunks=60, bits=5)
+    for _ in range(30):
+        same_round(encode, word_library, [" ".join(word() for _ in range(150)) + " " + shared])
+    assert encode.bytes_reused > 0.5 * 30 * len(shared) * 0.6
