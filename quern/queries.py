@@ -192,7 +192,58 @@ measured("scope_measure", "customer", "SELECT c_mktsegment, count(*)::BIGINT AS
 measured("scope_join_on", "orders", "SELECT c_mktsegment AS customer_c_mktsegment, round(sum(o_totalprice), 2) AS revenue FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_nationkey = 3) ON o_custkey = c_custkey WHERE o_orderstatus IN ('F', 'O') GROUP BY 1", scope=in_nation, group_by=["customer.c_mktsegment"], measures=[REVENUE])
 measured("scope_semijoin", "customer", "SELECT count(*)::BIGINT AS n FROM customer WHERE c_nationkey = 3 AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus IN ('F', 'O') AND o_totalprice > 200000)", scope=in_nation, measures=[COUNT], filter={"orders.o_totalprice": {"gt": 200000}})
 
-# --- full text: nothing here for SQL to compare with; tests hold it against small fixtures
+# --- full text: by SQL for words that are their own stems and have no other forms in the tables; tests hold the rest against fixtures
 add("fts_matches", lambda e: e.measure("documents", measures=[COUNT], group_by=["lang"], filter={"text": {"matches": 'stupid or "the the" -idiot'}}).df, None)
 add("fts_lexical_rank", lambda e: e.select("documents", columns=["lang"], rank_by={"on": "text", "query": "stupid idiot loser", "method": "keyword", "limit": 20}).df, None)
 
+
+def _word(word: str) -> str:
+    return f"regexp_matches(text, '(^|[^A-Za-z0-9]){word}($|[^A-Za-z0-9])', 'i')"
+
+
+add("fts_words", lambda e: e.measure("documents", measures=[COUNT], group_by=["doc_id"], filter={"text": {"matches": "stupid loser or idiot -stupid"}}).df, f"SELECT doc_id, count(*)::BIGINT AS n FROM documents WHERE ({_word('stupid')} AND {_word('loser')}) OR ({_word('idiot')} AND NOT {_word('stupid')}) GROUP BY 1")
+add("fts_rank_words", lambda e: e.select("documents", columns=["lang"], rank_by={"on": "text", "query": "stupid idiot", "method": "keyword", "limit": 50}).df.drop("_snippet"), """
+SELECT doc_id, lang, round(0.1::DOUBLE * len(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: w IN ('stupid', 'idiot'))), 2) AS _rank FROM documents ORDER BY 3 DESC, 1 LIMIT 50""")
+add("select_snippets", lambda e: e.select("part", columns=["p_name", "_snippets"], filter={"p_name": {"contains": "RING"}}, page={"limit": 500}).df.select("p_partkey", "p_name", F.col("_snippets")[0]["snippet"].alias("snippet"), F.col("_snippets")[0]["match"]["start"].alias("first"), F.col("_snippets")[0]["match"]["end"].alias("stop")), "SELECT p_partkey, p_name, p_name AS snippet, (strpos(lower(p_name), 'ring') - 1)::BIGINT AS first, (strpos(lower(p_name), 'ring') + 3)::BIGINT AS stop FROM part WHERE p_name ILIKE '%ring%' ORDER BY p_partkey LIMIT 500")
+add("window_global", lambda e: e.select("events", columns=["event_type"], window=[{"agg": a, "on": o, "as": n} for a, o, n in (("sum", "value", "total"), ("count", "*", "n"), ("count_distinct", "user_id", "users"), ("max", "value", "most"))], page={"limit": 50}).df, "SELECT event_id, event_type, round(sum(value) OVER (), 2) AS total, count(*) OVER ()::BIGINT AS n, (SELECT count(DISTINCT user_id) FROM events)::BIGINT AS users, round(max(value) OVER (), 2) AS most FROM events ORDER BY event_id LIMIT 50")
+
+
+# --- what results know beside their rows
+
+
+def told(name: str, schema: str, rows: Callable[[Engine], list[tuple]], sql: str, places: int = 2) -> None:
+    """A query over answers that are no table: their numbers as rows."""
+    add(name, lambda e: e.reader.spark.createDataFrame(rows(e), schema), sql, places=places)
+
+
+def _totals(e: Engine) -> list[tuple]:
+    out = []
+    for name, options in (("orders", {"filter": {"o_totalprice": {"gt": 200000}}}), ("nation", {"page": {"limit": 25}}), ("customer", {"filter": {"orders.o_totalprice": {"gt": 400000}}, "page": {"limit": 500}})):
+        page = e.select(name, **options)
+        out.append((name, page.total(), page.has_more()))
+    return out
+
+
+told("select_totals", "entity string, total long, has_more boolean", _totals, """
+SELECT entity, total::BIGINT AS total, total > page AS has_more FROM (
+  SELECT 'orders' AS entity, count(*) AS total, 25 AS page FROM orders WHERE o_totalprice > 200000 UNION ALL SELECT 'nation', count(*), 25 FROM nation
+  UNION ALL SELECT 'customer', count(*), 500 FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000))""")
+told("measure_group_count", "n long", lambda e: [(e.measure("orders", measures=[COUNT], group_by=["o_custkey"], having={"n": {"gte": 15}}, limit=3).group_count(),)], "SELECT count(*)::BIGINT AS n FROM (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) >= 15)")
+
+
+def _cited(e: Engine) -> list[tuple]:
+    c = e.select("documents", filter={"text": {"relevant": {"query": "vec:7", "top_k": 20}}}, citation={"boundary": True}).citation()
+    rows = [("exemplar", x["id"], x["similarity"], x["full_length"]) for x in c["exemplars"]]
+    edge = [(k, c["boundary"][k]["id"], c["boundary"][k]["similarity"], c["boundary"][k]["full_length"]) for k in ("lowest_included", "highest_excluded")]
+    return [*rows, *edge, ("count", c["match_count"], c["cutoff"], None)]
+
+
+told("relevant_citation", "part string, id long, similarity double, full_length long", _cited, f"""
+WITH s AS (SELECT doc_id, length(text) AS size, {SIMILARITY} AS s FROM documents JOIN embeddings ON doc_id = vec_id), r AS (SELECT *, row_number() OVER (ORDER BY s DESC, doc_id) AS n FROM s)
+SELECT CASE WHEN n <= 4 THEN 'exemplar' WHEN n = 20 THEN 'lowest_included' ELSE 'highest_excluded' END AS part, doc_id AS id, round(s, 6) AS similarity, size::BIGINT AS full_length FROM r WHERE n <= 4 OR n IN (20, 21)
+UNION ALL SELECT 'count', 20, round(s, 6), NULL FROM r WHERE n = 20""", places=6)
+told("select_many", "entity string, id long, total long", lambda e: [(r["entity"], i, total) for r, (ids, total) in zip(_MANY, e.select_many(_MANY), strict=True) for i in ids], """
+SELECT 'region' AS entity, r_regionkey::BIGINT AS id, (SELECT count(*) FROM region)::BIGINT AS total FROM region
+UNION ALL (SELECT 'supplier', s_suppkey, (SELECT count(*) FROM supplier WHERE s_acctbal > 0) FROM supplier WHERE s_acctbal > 0 ORDER BY s_suppkey LIMIT 3)""")
+_MANY = [{"entity": "region"}, {"entity": "supplier", "filter": {"s_acctbal": {"gt": 0}}, "page": {"limit": 3}}]
+told("compare_warnings", "undefined long", lambda e: [(int(next(w for w in e.compare("orders", variants=[{"label": "none", "filter": {"o_orderstatus": "Z"}}, {"label": "all"}], measures=[COUNT], group_by=["o_custkey"]).warnings() if "divide" in w).split(" in ")[1].split(" ")[0]),)], "SELECT count(DISTINCT o_custkey)::BIGINT AS undefined FROM orders")
