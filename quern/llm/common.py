@@ -45,8 +45,20 @@ def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
         spark.conf.set(key, str(most))
 
 
+_parents: set[str] = set()
+
+
 def shared_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/quern-{tag}-{uuid.uuid4().hex}"
+    """A new path in the application's part of the shared folder, which goes when the driver ends."""
+    context = spark.sparkContext
+    parent = f"{shared_dir(spark)}/quern-{context.applicationId}"
+    if parent not in _parents:
+        path = context._jvm.org.apache.hadoop.fs.Path(parent)
+        store = path.getFileSystem(context._jsc.hadoopConfiguration())
+        store.mkdirs(path)
+        store.deleteOnExit(path)
+        _parents.add(parent)
+    return f"{parent}/{tag}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:

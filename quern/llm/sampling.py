@@ -22,5 +22,9 @@ def smallest(ids: DataFrame, most: int) -> DataFrame:
 
 
 def rows_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``doc_id, text`` of the documents with those ids; ids come from ``smallest``, so their number is bounded."""
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")
+    """``doc_id, text`` of the documents with those ids; ids come from ``smallest``, so their number is bounded.
+
+    Of rows that share an id, the text with the smallest digest stands for them, however many they are.
+    """
+    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")
+    return found.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("digest"), "text")).alias("one")).select("doc_id", "one.text")
