@@ -7,11 +7,13 @@ Candidates that share a key are verified on all bits. Only distinct fingerprints
 spanning forest of the links it found, never all pairs of a group.
 
 ``keep_one`` uses the same index over fingerprints of 128 bits in eight segments, verifies candidates by the texts' shingles
-and leaves one document of each group.
+and leaves one document of each group. No number of bits holds all texts of a given similarity, so what the index has not
+linked is compared once more, exactly: texts of different groups that share one of the rarest shingles of each.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import LOWER, steps, text_bytes, written
+from quern.llm.common import LOWER, ragged, steps, text_bytes, written
 from quern.llm.components import components, forest
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
@@ -201,6 +203,10 @@ SIMILARITY, WORDS, CUTS = 0.8, 5, 8
 #: deviation of 4, fingerprints of unrelated texts 64 with a deviation of 6.
 CANDIDATE = 32
 _WIDE = 128
+#: Bits of the number of counters that order shingles, and ranges in which they are added up.
+COUNTERS, RANGES = 23, 32
+#: Shingles from which a set has a parity of 512 bits; smaller ones have 256.
+LARGE = 384
 
 
 def wide_prints(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -337,12 +343,173 @@ def similar_texts(links: DataFrame, texts: DataFrame, owners: DataFrame, similar
     return both.where((F.col("total") == 0) | (F.col("same") / (F.col("total") - F.col("same")) >= similarity)).select("a", "b")
 
 
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(text, words), np.uint64))
+
+
+def _counter(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - COUNTERS)).view(np.int64)
+
+
+def shingle_levels(texts: DataFrame, words: int = WORDS) -> np.ndarray:
+    """How often the shingles of all ``texts`` (version, text) occur, in powers of two, by the first bits of their hash.
+
+    This only orders shingles: any order, the same for all texts, gives the same pairs; rare ones first give fewer candidates.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = None
+        for batch in steps(batches):
+            table = np.zeros(1 << COUNTERS, np.uint32) if table is None else table
+            np.add.at(table, _counter(np.array([h for x in text_bytes(batch) for h in shingle_hashes(x, words)], np.uint64)), np.uint32(1))
+        if table is not None:
+            for n, own in enumerate(np.array_split(table, RANGES)):
+                data = pa.compress(np.minimum(own, 255).astype(np.uint8).tobytes(), "zstd", asbytes=True)
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([data], pa.binary())], names=["part", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for n, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = np.frombuffer(pa.decompress(data.as_buffer(), (1 << COUNTERS) // RANGES, "zstd"), np.uint8)
+                sums[n] = sums[n] + own if n in sums else own.astype(np.int64)
+        for n, own in sums.items():
+            level = np.ceil(np.log2(own + 1)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["part", "counts"])
+
+    out, kind = np.zeros(1 << COUNTERS, np.uint8), "part int, counts binary"
+    for r in texts.select("version", "text").mapInArrow(count, kind).repartition(RANGES, "part").mapInArrow(add, kind).collect():  # of fixed size
+        np.array_split(out, RANGES)[r["part"]][:] = np.frombuffer(r["counts"], np.uint8)
+    return out
+
+
+def rarest(own: np.ndarray, level: np.ndarray, similarity: float) -> np.ndarray:
+    """So many of a set's shingles, rarest first, that each set of that Jaccard similarity has one of them among its own.
+
+    The sets share at least similarity * len(own) shingles, so of the others plus one, one is shared; of the shared ones the
+    first in the common order is among the first of both. Sets without shingles have 0.
+    """
+    if not len(own):
+        return np.zeros(1, np.uint64)
+    most = len(own) - math.ceil(similarity * len(own) - 1e-9) + 1
+    return own[np.argsort(level[_counter(own)], kind="stable")[:most]]
+
+
+def parity(own: np.ndarray) -> bytes:
+    """Which of 256 or 512 classes of hashes hold an odd number of a set's shingles; 64 bytes, the last 32 zero for 256.
+
+    Two sets differ in as many shingles as their parities in bits, or more.
+    """
+    n = 256 if len(own) < LARGE else 512
+    odd = np.bincount((own & np.uint64(n - 1)).view(np.int64), minlength=n) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes().ljust(64, b"\0")
+
+
+def pairs_apart(keys: np.ndarray, root: np.ndarray, size: np.ndarray, place: np.ndarray, bits: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs within runs of equal keys whose groups (``root``) differ and whose sets may have the similarity, as far as
+    their sizes, the places of the shared shingle and their parities (``bits``, rows x 8) tell."""
+    folded = bits[:, :4] ^ bits[:, 4:]  # of 512 classes, those that 256 would make one
+
+    def may(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Places of the pairs."""
+        at = np.flatnonzero(root[i] != root[j])
+        i, j = i[at], j[at]
+        total = size[i] + size[j]
+        least = total * (similarity / (1 + similarity)) - 1e-6  # of shared shingles
+        own = np.flatnonzero(np.minimum(place[i], place[j]) + np.minimum(size[i] - place[i], size[j] - place[j]) >= least)
+        for wide in (False, True):
+            a, b = i[own], j[own]
+            x = bits if wide else folded
+            apart = np.bitwise_count(x[a] ^ x[b]).sum(1, dtype=np.int64)
+            ok = total[own] - apart >= 2 * least[own]
+            if wide:
+                ok |= (size[a] < LARGE) | (size[b] < LARGE)
+            own = own[ok]
+        return at[own]
+
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
+    sizes = np.diff(np.r_[starts, len(keys)])
+    if len(starts):  # runs of one group hold nothing
+        mixed = np.minimum.reduceat(root, starts) < np.maximum.reduceat(root, starts)
+        starts, sizes = starts[mixed], sizes[mixed]
+    for start, n in zip(starts[sizes > DENSE].tolist(), sizes[sizes > DENSE].tolist(), strict=True):
+        # the largest group is no row's turn: its own pairs, which are most, are never formed
+        groups, at = np.unique(root[start : start + n], return_inverse=True)
+        largest = np.bincount(at).argmax() == at
+        inside, others = start + np.flatnonzero(largest), start + np.flatnonzero(~largest)
+        for k, f in enumerate(others):
+            against = np.concatenate((inside, others[k + 1 :]))
+            ok = against[may(np.full(len(against), f), against)]
+            if len(ok):
+                yield np.full(len(ok), f), ok
+    few = sizes <= DENSE
+    at, ends, d = ragged(starts[few], sizes[few]), np.repeat(starts[few] + sizes[few], sizes[few]), 1
+    while len(at):
+        kept = at + d < ends
+        at, ends = at[kept], ends[kept]
+        ok = at[may(at, at + d)]
+        if len(ok):
+            yield ok, ok + d
+        d += 1
+
+
+def links_between(groups: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
+    """``a, b``: all pairs of ``version`` in different ``groups`` (version, root) that may have the similarity.
+
+    Every text is indexed under its ``rarest`` shingles; whichever two texts have the similarity share one of these. Of the
+    pairs that share one, those leave the task that their sizes and parities do not rule out.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(shingle_levels(texts, words))  # of fixed size
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches):
+            sets = [shingle_set(x, words) for x in text_bytes(batch)]
+            rows = [rarest(x, shared.value, similarity).view(np.int64) for x in sets]
+            columns = [batch.column(0), pa.array(list(map(len, sets)), pa.int32()), pa.array(rows, pa.list_(pa.int64())), pa.array(list(map(parity, sets)), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["version", "size", "rarest", "bits"])
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        n = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            nonlocal held, n
+            if n:
+                a, b = np.unique(np.concatenate(held), axis=0).T
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (a, b)], names=["a", "b"])
+            held, n = [], 0
+
+        def search(keys: np.ndarray, version: np.ndarray, root: np.ndarray, size: np.ndarray, place: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+            nonlocal n
+            for i, j in pairs_apart(keys, root, size, place, bits, similarity):
+                held.append(np.stack((np.minimum(version[i], version[j]), np.maximum(version[i], version[j])), 1))
+                n += len(i)
+                if n > 1 << 18:
+                    yield from out()
+
+        rows = [*(np.empty(0, kind) for kind in (np.int64, np.int64, np.int64, np.int32, np.int32)), np.empty((0, 8), np.uint64)]
+        for batch in batches:
+            own = [*(batch.column(i).to_numpy() for i in range(5)), np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint64).reshape(-1, 8)]
+            rows = [np.concatenate(x) for x in zip(rows, own, strict=True)]
+            if len(rows[0]) > 1 << 16:  # all whole keys so far; the last may go on
+                done = int(np.searchsorted(rows[0], rows[0][-1]))
+                yield from search(*(x[:done] for x in rows))
+                rows = [x[done:].copy() for x in rows]
+        yield from search(*rows)
+        yield from out()
+
+    index = texts.select("version", "text").mapInArrow(first, "version long, size int, rarest array<long>, bits binary")
+    index = index.groupBy("version").agg(*(F.first(x).alias(x) for x in ("size", "rarest", "bits"))).join(groups, "version")
+    keyed = index.select(F.posexplode("rarest").alias("place", "key"), "version", "root", "size", "bits").select("key", "version", "root", "size", "place", "bits")
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(links, "a long, b long").distinct()
+
+
 def keep_one(docs: DataFrame, *, similarity: float = SIMILARITY, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group of near-duplicates, all columns as they are.
 
-    Texts are linked if their sets of word shingles have a Jaccard similarity of at least ``similarity``; candidates are
-    those that share a one-wildcard segment key of their 128-bit fingerprints, which holds for certain up to 15 differing
-    bits and for nine in ten of the pairs at similarity 0.8. Of a group, the row with the smallest id stays, null ids last,
+    Texts are linked if their sets of word shingles have a Jaccard similarity of at least ``similarity``. Candidates are
+    first those that share a one-wildcard segment key of their 128-bit fingerprints, then, between the groups these make up,
+    all that can have the similarity: no link is lost. Of a group, the row with the smallest id stays, null ids last,
     among equal ids that with the smallest text digest. Rows with the same id and text are one (the least by all columns
     stays; null and empty texts are the same text); other rows of a repeated id are documents of their own. An empty table
     gives an empty result.
@@ -360,7 +527,11 @@ def keep_one(docs: DataFrame, *, similarity: float = SIMILARITY, words: int = WO
     named = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id")
     nodes = written(prints.groupBy("version").agg(F.min(named).alias("first"), F.min("low").alias("low"), F.min("high").alias("high")), "prints")
     texts = docs.select(F.col(id_col).alias("doc_id"), digest.alias("version"), F.col(text_col).alias("text"))
-    root = components(similar_texts(candidate_links(nodes), texts, nodes.select("version", "first.doc_id"), similarity, words))
+    owners = nodes.select("version", "first.doc_id")
+    near = written(similar_texts(candidate_links(nodes), texts, owners, similarity, words), "near")
+    root = components(near)
+    groups = nodes.select("version").join(root, nodes["version"] == root["node"], "left").select("version", F.coalesce("root", "version").alias("root"))
+    root = components(near.union(similar_texts(links_between(groups, texts, similarity, words), texts, owners, similarity, words)))
     group = nodes.join(root, nodes["version"] == root["node"], "left").select("version", "first", F.coalesce("root", "version").alias("root"))
     chosen = group.groupBy("root").agg(F.min(F.struct("first", "version")).alias("one")).select("one.first.doc_id", "one.version")
     chosen = written(chosen, "chosen")  # its join below can then be split where many rows repeat one id and text

@@ -183,6 +183,39 @@ def test_most_pairs_at_the_threshold_are_found(spark):
     assert kept <= 200 + 0.1 * 200
 
 
+def test_all_pairs_at_the_threshold_are_found(spark):
+    """Whatever number of bits their fingerprints differ in: long texts, and short ones, whose fingerprints differ more."""
+    rng = random.Random(10)
+    words = ["w%d" % i for i in range(5000)]
+    texts = []
+    while len(texts) < 600:
+        base = " ".join(rng.choice(words) for _ in range(300 if len(texts) < 400 else rng.randint(13, 60)))
+        other = edited(rng, words, base, 0.021) if len(texts) < 400 else base + " " + " ".join(rng.choice(words) for _ in range(rng.randint(1, 12)))
+        if slow_groups([base, other]) and not slow_groups([base, other], 0.84):
+            texts += [base, other]
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert kept == set(range(0, 600, 2))
+
+
+@pytest.mark.parametrize("dense", [3, 512])
+def test_rarest_shingles_lose_no_pair(monkeypatch, dense):
+    """Sets of a few values, all pairs compared: each pair in different groups that has the similarity is formed."""
+    monkeypatch.setattr(simhash, "DENSE", dense)
+    rng = random.Random(6)
+    level = np.random.default_rng(6).integers(0, 4, 1 << simhash.COUNTERS).astype(np.uint8)
+    names = np.unique(np.random.default_rng(7).integers(0, 1 << 64, 40, dtype=np.uint64)).tolist()
+    sets = [set(rng.sample(names, rng.randint(0, 12))) for _ in range(60)]
+    sets += [{*x} - {*rng.sample(sorted(x), 1)} | {*rng.sample(names, rng.randint(0, 2))} for x in sets if x]
+    monkeypatch.setattr(simhash, "LARGE", 7)
+    bits = np.stack([np.frombuffer(simhash.parity(np.array(sorted(x), np.uint64)), np.uint64) for x in sets])
+    rows = sorted((int(k), v, v % 9, len(x), at) for v, x in enumerate(sets) for at, k in enumerate(simhash.rarest(np.array(sorted(x), np.uint64), level, 0.8)))
+    keys, version, root, size, place = (np.array(c, np.uint64 if n == 0 else np.int64) for n, c in enumerate(zip(*rows)))
+    got = {frozenset((int(version[a]), int(version[b]))) for i, j in simhash.pairs_apart(keys, root, size, place, bits[version], 0.8) for a, b in zip(i, j)}
+    alike = lambda x, y: not x | y or len(x & y) / len(x | y) >= 0.8
+    want = {frozenset((i, j)) for i, x in enumerate(sets) for j in range(i) if i % 9 != j % 9 and alike(x, sets[j])}
+    assert want <= got and len(want) > 20 and all(len({v % 9 for v in p}) == 2 for p in got)
+
+
 def test_minimal_spanning_forest():
     rng = np.random.default_rng(4)
     a, b, weight = rng.integers(0, 40, 300), rng.integers(0, 40, 300), rng.integers(0, 9, 300)
