@@ -16,7 +16,8 @@ Training meets all tokens of all training documents. Counts of all words by clus
 grow with the corpus. Contexts of again and frequent are learned online in each task, one mini-batch after the other: predict,
 adjust weights and refinement, then count. Tables are added over the tasks, weights averaged by how often each gate was met.
 Spelling is learned from all distinct words, each in its likeliest cluster and judged without its own counts. The cluster of the text so far
-is the likeliest by its words before; clusters begin from a sample and are fitted anew over all training documents.
+is the likeliest by its words before; the words that tell clusters apart are those most frequent in all training documents, and
+clusters are fitted by expectation-maximisation over all of these, one pass of Spark for each round.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import heapq
 import math
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,14 +39,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import LOWER, bucket_of, give_back, per_worker, shared_path, steps, text_bytes, written
-from quern.llm.sampling import rows_of
 
 #: Rows whose bucket is this one of so many are held out of training.
 BUCKETS, HELD_OUT = 5, 1
 #: Words that count as frequent: at most so many, held by each worker, and met so often. All others are joined.
 TOP, LEAST = 1 << 19, 4
-#: Words that tell clusters apart, clusters, and training documents (smallest hash of the id) from which clusters begin.
-MARKERS, CLUSTERS, SAMPLE_DOCS = 2048, 6, 3_000
+#: Words that tell clusters apart, and clusters.
+MARKERS, CLUSTERS = 2048, 6
 #: Bits of the table sizes of spelling contexts and of word contexts, at every size of corpus.
 SPELL_BITS, WORD_BITS = 22, 18
 #: Words of a cluster's counts that are drawn from the corpus' shares.
@@ -363,6 +363,10 @@ class Clusters:
     prior: np.ndarray
     evidence: np.ndarray  # (markers + 1) x clusters, log-probabilities; the last row is no evidence
 
+    def __post_init__(self) -> None:
+        # multiples of 2**-20: sums are exact, so ties fall alike whatever texts are summed before
+        self.prior, self.evidence = np.rint(self.prior * 2.0**20) / 2**20, np.rint(self.evidence * 2.0**20) / 2**20
+
     def marker(self, hashes: np.ndarray) -> np.ndarray:
         return place_in(self.markers, hashes, len(self.markers))
 
@@ -404,33 +408,89 @@ def place_in(known: np.ndarray, hashes: np.ndarray, none: int = -1) -> np.ndarra
     return out
 
 
+@dataclass
+class Marked:
+    """The markers of some texts: how many kinds each text has, and of each its place and the log of 1 + its count."""
+
+    sizes: np.ndarray
+    at: np.ndarray
+    x: np.ndarray
+
+    @classmethod
+    def of(cls, marker: np.ndarray, sizes: np.ndarray, markers: int) -> Marked:
+        """From the marker of each token, ``markers`` for none."""
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        cell, n = np.unique((owner * (markers + 1) + marker)[marker < markers], return_counts=True)
+        return cls(np.bincount(cell // (markers + 1), minlength=len(sizes)), cell % (markers + 1), np.log1p(n))
+
+    def scores(self, weights: np.ndarray, unit: bool) -> np.ndarray:
+        """Products of each text with the columns of ``weights``; ``unit``: of the text at length one."""
+        owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        out = np.zeros((len(self.sizes), weights.shape[1]))
+        for k, own in enumerate(np.ascontiguousarray(weights.T)):
+            out[:, k] = np.bincount(owner, self.x * own.take(self.at), minlength=len(out))
+        return out / np.maximum(1e-6, np.sqrt(np.bincount(owner, self.x**2, minlength=len(out))))[:, None] if unit else out
+
+
+def farthest(parts: Iterable[Marked], seeds: np.ndarray, least: float) -> tuple[float, list[int], list[float]] | None:
+    """The text least like any of ``seeds`` (columns of length one), of those with logs of ``least`` or more in all: how
+    far, its markers, its logs. Without seeds the text with most. Any text of a word or two would be far."""
+    best = None
+    for p in parts:
+        far = much = np.bincount(np.repeat(np.arange(len(p.sizes)), p.sizes), p.x, minlength=len(p.sizes))
+        if seeds.shape[1]:
+            far = np.where(much >= least, -p.scores(seeds, True).max(1), -2.0)
+        ends = np.cumsum(p.sizes)
+        for i in np.flatnonzero(far == far.max(initial=-3.0)):
+            own = slice(ends[i] - p.sizes[i], ends[i])
+            found = (float(far[i]), p.at[own].tolist(), p.x[own].tolist())
+            best = found if best is None else max(best, found)
+    return best
+
+
+def moments(parts: Iterable[Marked], weights: np.ndarray, prior: np.ndarray, unit: bool) -> np.ndarray:
+    """Sums over texts of their shares in the clusters: of each marker's logs, and in the last row of texts."""
+    out = np.zeros((len(weights) + 1, len(prior)))
+    for p in parts:
+        score = p.scores(weights, unit) + prior
+        share = np.exp(score - score.max(1, keepdims=True))
+        share /= share.sum(1, keepdims=True)
+        out[-1] += share.sum(0)
+        for k, own in enumerate(np.ascontiguousarray(share.T)):
+            out[:-1, k] += np.bincount(p.at, p.x * np.repeat(own, p.sizes), minlength=len(weights))
+    return out
+
+
+def fitted_clusters(known: np.ndarray, far: Callable, total: Callable, n: int, rounds: int = 20) -> Clusters:
+    """Expectation-maximisation of a multinomial mixture, begun from texts that are far apart. ``far`` and ``total`` are
+    ``farthest`` and ``moments`` of all texts."""
+    if not len(known) or n < 2:
+        return Clusters(known, np.zeros(n), np.zeros((len(known) + 1, n)))
+    seeds, every = np.zeros((len(known), 0)), total(np.zeros((len(known), 1)), np.zeros(1), False)
+    least = float(every[:-1].sum() / every[-1, 0])  # the mean of all texts
+    while seeds.shape[1] < n:
+        _, at, x = far(seeds, least)
+        own = np.zeros(len(known))
+        own[at] = x
+        seeds = np.c_[seeds, own / max(1e-6, np.linalg.norm(own))]
+    sums, before = total(20 * seeds, np.zeros(n), True), None
+    for left in range(rounds - 1, -1, -1):
+        words, texts = sums[:-1] + 0.05, sums[-1]
+        logs = np.log(words / words.sum(0))
+        prior = np.log((texts + 1) / (texts.sum() + n))
+        if not left or before is not None and abs(texts - before).max() < 1e-4 * texts.sum():
+            break
+        sums, before = total(logs, prior, False), texts
+    return Clusters(known, prior, np.vstack((logs - logs.max(1, keepdims=True), np.zeros((1, n)))))
+
+
 def fit_clusters(texts: list[list[bytes]], n: int = CLUSTERS, rounds: int = 20) -> Clusters:
-    """Expectation-maximisation of a multinomial mixture, begun from texts that are far apart."""
+    """Clusters of texts that are at hand."""
     often = Counter(t for text in texts for t in text if t)
-    hashes = {xxhash.xxh3_64_intdigest(t): t for t, _ in sorted(often.items(), key=lambda x: (-x[1], x[0]))[:MARKERS]}
-    names = [hashes[h] for h in sorted(hashes)]
-    known = np.array(sorted(hashes), _U)
-    if not names or n < 2:
-        return Clusters(known, np.zeros(n), np.zeros((len(names) + 1, n)))
-    place = {t: i for i, t in enumerate(names)}
-    x = np.zeros((len(texts), len(names)), np.float32)
-    for own, text in zip(x, texts, strict=True):
-        np.add.at(own, [place[t] for t in text if t in place], 1)
-    x = np.log1p(x)
-    unit = x / np.maximum(1e-6, np.linalg.norm(x, axis=1, keepdims=True))
-    seeds = [int(x.sum(1).argmax())]
-    while len(seeds) < n:
-        seeds.append(int((unit @ unit[seeds].T).max(1).argmin()))
-    near = unit @ unit[seeds].T
-    share = np.exp(20 * (near - near.max(1, keepdims=True)))
-    for _ in range(rounds):
-        share /= share.sum(1, keepdims=True)
-        words = share.T @ x + 0.05
-        logs = np.log(words / words.sum(1, keepdims=True))
-        prior = np.log((share.sum(0) + 1) / (len(texts) + n))
-        score = x @ logs.T + prior
-        share = np.exp(score - score.max(1, keepdims=True))
-    return Clusters(known, prior, np.vstack(((logs - logs.max(0)).T, np.zeros((1, n)))))
+    known = np.array(sorted(xxhash.xxh3_64_intdigest(t) for t, _ in sorted(often.items(), key=lambda x: (-x[1], x[0]))[:MARKERS]), _U)
+    hashes = np.array([xxhash.xxh3_64_intdigest(t) for text in texts for t in text], _U)
+    part = Marked.of(place_in(known, hashes, len(known)), np.array([len(x) for x in texts], np.int64), len(known))
+    return fitted_clusters(known, lambda *x: farthest([part], *x), lambda *x: moments([part], *x), n, rounds)
 
 
 # Decisions about words.
@@ -623,6 +683,60 @@ def count_words(docs: DataFrame, clusters: Clusters) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "token string, cluster int, n long").groupBy("token", "cluster").agg(F.sum("n").alias("n"))
 
 
+def train_clusters(docs: DataFrame, n: int = CLUSTERS) -> Clusters:
+    """Clusters of all ``docs`` (doc_id, text): markers by exact counts of all words, every round over every text."""
+    spark = docs.sparkSession
+    one = Clusters(np.empty(0, _U), np.zeros(1), np.zeros((1, 1)))
+    often = count_words(docs, one).where("token <> ''").orderBy(F.desc("n"), "token").limit(MARKERS).collect()  # bounded by MARKERS
+    known = np.array(sorted(xxhash.xxh3_64_intdigest(r["token"].encode()) for r in often), _U)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, budget=STEP):
+            t = tokenise(text_bytes(batch))
+            p = Marked.of(place_in(known, t.hashes(), len(known))[t.at], t.sizes, len(known))
+            columns = [pa.array([x.astype(kind).tobytes()], pa.binary()) for x, kind in ((p.sizes, "<u2"), (p.at, "<u2"), (np.rint(np.expm1(p.x)), "<u4"))]
+            yield pa.RecordBatch.from_arrays(columns, names=["sizes", "at", "n"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[Marked]:
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sizes, at, count = (np.frombuffer(x, kind) for x, kind in zip(row, ("<u2", "<u2", "<u4"), strict=True))
+                yield Marked(sizes.astype(np.int64), at.astype(np.int64), np.log1p(count))
+
+    parts = written(docs.select("doc_id", "text").mapInArrow(mark, "sizes binary, at binary, n binary"), "marked")
+
+    def far(seeds: np.ndarray, least: float) -> tuple[float, list[int], list[float]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = farthest(read(batches), seeds, least)
+            if found:
+                yield pa.RecordBatch.from_pylist([dict(zip(("far", "at", "x"), found, strict=True))], schema=pa.schema([("far", pa.float64()), ("at", pa.list_(pa.int32())), ("x", pa.list_(pa.float64()))]))
+
+        return tuple(parts.mapInArrow(run, "far double, at array<int>, x array<double>").orderBy(F.desc("far"), F.desc("at"), F.desc("x")).first())
+
+    def total(weights: np.ndarray, prior: np.ndarray, unit: bool) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from ranges(moments(read(batches), weights, prior, unit).ravel())
+
+        def ranges(sums: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for i, own in enumerate(np.array_split(sums, RANGES)):
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([own.tobytes()], pa.binary())], names=["part", "sums"])
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for i, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    sums[i] = sums.get(i, 0) + np.frombuffer(x)
+            for i, own in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([own.tobytes()], pa.binary())], names=["part", "sums"])
+
+        kind, out = "part int, sums binary", np.zeros((len(weights) + 1, len(prior)))
+        for r in parts.mapInArrow(run, kind).repartition(6, "part").mapInArrow(add, kind).collect():  # of fixed size
+            np.array_split(out.reshape(-1), RANGES)[r["part"]][:] = np.frombuffer(r["sums"])
+        return out
+
+    return fitted_clusters(known, far, total, n)
+
+
 _PARTS = "name string, part int, table binary, vector array<double>"
 _PART_SCHEMA = pa.schema([("name", pa.string()), ("part", pa.int32()), ("table", pa.binary()), ("vector", pa.list_(pa.float64()))])
 
@@ -775,12 +889,7 @@ class Model:
 def train(docs: DataFrame) -> tuple[Model, Rare, DataFrame, int, int]:
     """The model, the discounts and counts (``token, c, c0, ...``) of rare words, N and V of the training tokens."""
     own = docs.where(~held_out(F.col("doc_id")))
-    ids = own.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    sample = rows_of(own, ids).collect()  # bounded by SAMPLE_DOCS
-    pool: dict[bytes, bytes] = {}  # one object for each distinct word
-    texts = [[pool.setdefault(x, x) for x in tokens_of((r["text"] or "").encode())] for r in sorted(sample, key=lambda r: r["doc_id"])]
-    clusters = fit_clusters(texts)
-    del texts, sample, pool
+    clusters = train_clusters(own)
     give_back()
     width = len(clusters.prior)
     counts = written(count_words(own, clusters), "counts")

@@ -323,3 +323,25 @@ def test_all_training_tokens_are_learned_from(spark, rows, monkeypatch):
     distinct = {w for d, t in rows if not is_held_out(d) for w in lm.tokens_of((t or "").encode())}
     bits = sum(int(m.code[0][b]) for w in distinct for b in w + b" ")
     assert met == [again, frequent, bits]
+
+
+def test_clusters_come_from_all_training_documents(spark):
+    """Words that only the documents beyond the 3 000 with the smallest hashes hold tell clusters apart too."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    ids = [r.doc_id for r in spark.range(4500).select(F.col("id").alias("doc_id")).orderBy(F.xxhash64("id")).collect() if not is_held_out(r.doc_id)]
+    assert len(ids) > 3300
+    rows = [(d, text(rng, int(i >= 3000), 12)) for i, d in enumerate(ids)]
+    m, *_ = lm.train(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    often = Counter(w for _, t in rows for w in lm.tokens_of(t.encode()) if w)
+    top = sorted(often, key=lambda w: (-often[w], w))[: lm.MARKERS]
+    assert m.clusters.markers.tolist() == sorted(xxhash.xxh3_64_intdigest(w) for w in top)
+    assert {xxhash.xxh3_64_intdigest(w) for w in (b"der", b"und")} <= set(m.clusters.markers.tolist())
+
+
+def test_clusters_over_tasks_are_those_of_all_texts_at_hand(spark, rows, monkeypatch):
+    monkeypatch.setattr(lm, "STEP", 1 << 12)  # many parts
+    got = lm.train_clusters(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    want = lm.fit_clusters([lm.tokens_of((t or "").encode()) for _, t in rows])
+    assert (got.markers == want.markers).all() and np.allclose(got.prior, want.prior) and np.allclose(got.evidence, want.evidence)
