@@ -115,6 +115,7 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 def give_back() -> None:
     """Returns memory that this process has freed to the system, where the C library can: workers outlive tasks."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 

@@ -27,7 +27,7 @@ import math
 import uuid
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -502,12 +502,13 @@ class Frequent:
 
     hashes: np.ndarray
     count: np.ndarray
-    by_cluster: np.ndarray
+    by_cluster: np.ndarray | None
     known: np.ndarray | None = None
 
     def log_prob(self, at: np.ndarray, cluster: np.ndarray) -> np.ndarray:
         """Of frequent words among frequent words, in a cluster."""
-        return self.logs().take(at * self.by_cluster.shape[1] + cluster)
+        logs = self.logs()
+        return logs.take(at * (len(logs) // max(1, len(self.hashes))) + cluster)
 
     def logs(self) -> np.ndarray:
         """All of them, by word and cluster."""
@@ -516,6 +517,10 @@ class Frequent:
             self.known = np.log((self.by_cluster + share[:, None]) / (self.by_cluster.sum(0, dtype=np.float64) + SMOOTH)).astype(np.float32).ravel()
         return self.known
 
+    def without_counts(self) -> Frequent:
+        """What scoring needs: the logs alone, not the counts that they come from."""
+        return Frequent(self.hashes, self.count, None, self.logs())
+
 
 #: Gates and start of the weights of both decisions: three tables, the share in this text, a bias.
 AGAIN_GATES, FREQUENT_GATES = 24, 12
@@ -987,7 +992,7 @@ def score(docs: DataFrame) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
     model, rare, rest, n, v = train(docs)
     floor, width = n + 0.5 * (v + 1), len(model.clusters.prior)
-    shared = spark.sparkContext.broadcast(model)  # bounded by TOP and WORD_BITS
+    shared = spark.sparkContext.broadcast(replace(model, frequent=model.frequent.without_counts()))  # bounded by TOP and WORD_BITS
 
     def run(batches: Iterator[pa.RecordBatch], key: str = uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
         scorer = per_worker(key, lambda: Scorer(shared.value, n, v))

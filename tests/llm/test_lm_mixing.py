@@ -345,3 +345,12 @@ def test_clusters_over_tasks_are_those_of_all_texts_at_hand(spark, rows, monkeyp
     got = lm.train_clusters(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
     want = lm.fit_clusters([lm.tokens_of((t or "").encode()) for _, t in rows])
     assert (got.markers == want.markers).all() and np.allclose(got.prior, want.prior) and np.allclose(got.evidence, want.evidence)
+
+
+def test_scoring_needs_no_counts_by_cluster():
+    rng = np.random.default_rng(1)
+    by = rng.integers(0, 9, (40, 3)).astype(np.float32)
+    f = lm.Frequent(np.arange(40, dtype=np.uint64), by.sum(1).astype(float), by)
+    at, cluster = rng.integers(0, 40, 100), rng.integers(0, 3, 100)
+    slim = f.without_counts()
+    assert slim.by_cluster is None and (slim.log_prob(at, cluster) == f.log_prob(at, cluster)).all()
