@@ -16,13 +16,18 @@ from typing import TypeVar
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 T = TypeVar("T")
 
 #: Bytes of text that one vectorised step holds at most (a single longer text is one step of its own).
 STEP_BYTES = 1 << 20
+#: Bytes that a worker holds before it writes them to a table.
+GROUP_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -68,6 +73,38 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_by_workers(df: DataFrame, tag: str, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] = iter, schema: str | StructType | None = None) -> DataFrame:
+    """``df``, or its ``mapInArrow(run, schema)``, as a Parquet table in the shared folder that the Python workers write, read back.
+
+    What ``run`` makes doesn't pass through the JVM, and no executor starts a command for each file, as Hadoop does on local
+    folders (chmod). File names are unique to a task attempt and only what a finished task reported is read. The folder must be
+    one pyarrow opens; a null struct whose fields may not be null is refused.
+    """
+    spark, schema = df.sparkSession, schema or df.schema
+    path = shared_path(spark, tag)
+    store, folder = pafs.FileSystem.from_uri(path)
+    store.create_dir(folder)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, folder = pafs.FileSystem.from_uri(path)
+        name, out, held = f"part-{uuid.uuid4().hex}.parquet", None, []
+        for batch in run(batches):
+            if out is None:
+                out = pq.ParquetWriter(f"{folder}/{name}", batch.schema, filesystem=store, compression="zstd")
+            held.append(batch)
+            if sum(x.nbytes for x in held) > GROUP_BYTES:
+                out.write_table(pa.Table.from_batches(held))
+                held = []
+        if out is not None:
+            if held:
+                out.write_table(pa.Table.from_batches(held))
+            out.close()
+            yield pa.RecordBatch.from_pydict({"name": [name]})
+
+    names = [r["name"] for r in df.mapInArrow(write, "name string").collect()]  # one for each task
+    return spark.read.schema(schema).parquet(*(f"{path}/{x}" for x in names)) if names else spark.createDataFrame([], schema)
+
+
 def bucket_of(doc_id: Column, n: int) -> Column:
     """crc32 of the id written as text, modulo n (a null id counts as the empty text)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n

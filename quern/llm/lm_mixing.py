@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import LOWER, bucket_of, give_back, per_worker, shared_path, steps, text_bytes, written
+from quern.llm.common import LOWER, bucket_of, give_back, per_worker, steps, text_bytes, written_by_workers
 
 #: Rows whose bucket is this one of so many are held out of training.
 BUCKETS, HELD_OUT = 5, 1
@@ -708,7 +708,7 @@ def train_clusters(docs: DataFrame, n: int = CLUSTERS) -> Clusters:
                 sizes, at, count = (np.frombuffer(x, kind) for x, kind in zip(row, ("<u2", "<u2", "<u4"), strict=True))
                 yield Marked(sizes.astype(np.int64), at.astype(np.int64), np.log1p(count))
 
-    parts = written(docs.select("doc_id", "text").mapInArrow(mark, "sizes binary, at binary, n binary"), "marked")
+    parts = written_by_workers(docs.select("doc_id", "text"), "marked", mark, "sizes binary, at binary, n binary")
 
     def far(seeds: np.ndarray, least: float) -> tuple[float, list[int], list[float]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -756,9 +756,9 @@ def emitted(name: str, learner: Learner | None, table: np.ndarray | None) -> Ite
         yield pa.RecordBatch.from_pylist([row], schema=_PART_SCHEMA)
 
 
-def added_tables(parts: DataFrame, slots: dict[str, int]) -> DataFrame:
+def added_tables(parts: DataFrame, slots: dict[str, int], tag: str = "") -> DataFrame:
     """``name, part, table``: sums of the ranges over all tasks, each range in a task of its own, in 16 bits. ``slots``: of all
-    ranges of a name."""
+    ranges of a name. With a ``tag``, written."""
     sizes = {name: n * 8 // RANGES for name, n in slots.items()}
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -771,7 +771,8 @@ def added_tables(parts: DataFrame, slots: dict[str, int]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([part], pa.int32()), pa.array([narrow(own.reshape(-1, 2)).tobytes()], pa.binary())], names=["name", "part", "table"])
 
     rows = parts.where("table is not null").select("name", "part", "table").repartition(RANGES, "name", "part")
-    return rows.mapInArrow(add, "name string, part int, table binary")
+    kind = "name string, part int, table binary"
+    return written_by_workers(rows, tag, add, kind) if tag else rows.mapInArrow(add, kind)
 
 
 def learn_choices(docs: DataFrame, frequent: Frequent, clusters: Clusters) -> tuple[ChoiceModel, ChoiceModel]:
@@ -790,7 +791,7 @@ def learn_choices(docs: DataFrame, frequent: Frequent, clusters: Clusters) -> tu
             if learner.mixing.t:
                 yield from emitted(name, learner.mixing, learner.tables)
 
-    parts = written(docs.select("doc_id", "text").mapInArrow(run, _PARTS), "choices")
+    parts = written_by_workers(docs.select("doc_id", "text"), "choices", run, _PARTS)
     found, tables = summed(parts), {x: np.zeros((_PREDICTORS << WORD_BITS, 2), np.uint16) for x in "af"}
     for r in added_tables(parts, dict.fromkeys("af", _PREDICTORS << WORD_BITS)).collect():  # of fixed size
         np.array_split(tables[r["name"]].reshape(-1), RANGES)[r["part"]][:] = np.frombuffer(r["table"], np.uint16)
@@ -810,9 +811,9 @@ def byte_counts(words: DataFrame) -> np.ndarray:
     return found.astype(np.int64)
 
 
-def learn_words(words: DataFrame, code: tuple[np.ndarray, np.ndarray], bits: int, folder: str) -> Mixer:
-    """Spelling from distinct words (``token, cluster``): tables in ``folder``, and how they are mixed."""
-    words = words.select("token", "cluster")
+def learn_words(words: DataFrame, code: tuple[np.ndarray, np.ndarray], bits: int) -> tuple[list[str], Mixer]:
+    """Spelling from distinct words (``token, cluster``): files of its tables, and how they are mixed."""
+    words, key = words.select("token", "cluster"), uuid.uuid4().hex
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = None
@@ -824,28 +825,26 @@ def learn_words(words: DataFrame, code: tuple[np.ndarray, np.ndarray], bits: int
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learner = Learner(spell_start())
-        for batch in steps(batches, "token", keep=folder):
-            tables = per_worker(folder, lambda: load(folder, bits))
+        for batch in steps(batches, "token", keep=key):
+            tables = per_worker(key, lambda: load(files, bits))
             learn_spelling(learner, tables, bits, code, text_bytes(batch, "token"), batch.column(1).to_numpy())
         if learner.t:
             yield from emitted("s", learner, None)
 
-    added_tables(words.mapInArrow(count, _PARTS), {"s": len(_ORDERS) << bits}).write.option("compression", "zstd").parquet(folder)
-    return joined(spell_start(), sums_of(summed(words.mapInArrow(learn, _PARTS)), "s"))
+    files = added_tables(words.mapInArrow(count, _PARTS), {"s": len(_ORDERS) << bits}, "tables").inputFiles()  # RANGES at most
+    return files, joined(spell_start(), sums_of(summed(words.mapInArrow(learn, _PARTS)), "s"))
 
 
-def load(folder: str, bits: int, form=None) -> np.ndarray:
-    """The spelling tables from the shared folder, (zeros, ones) or what ``form`` makes of these; one range at a time."""
+def load(files: list[str], bits: int, form=None) -> np.ndarray:
+    """The spelling tables from files in the shared folder, (zeros, ones) or what ``form`` makes of these; one range at a time."""
     shape = (len(_ORDERS), 1 << bits)
     out = np.zeros((*shape, 2), np.uint16) if form is None else np.full(shape, form(np.zeros((1, 2), np.uint16))[0])
     bounds = np.array_split(out.reshape(-1, 2) if form is None else out.reshape(-1), RANGES)  # views
-    filesystem, top = pafs.FileSystem.from_uri(folder)
-    for info in filesystem.get_file_info(pafs.FileSelector(top)):
-        if info.path.endswith(".parquet"):
-            for batch in pq.ParquetFile(filesystem.open_input_file(info.path)).iter_batches(1):
-                for n, data in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-                    part = np.frombuffer(data.as_buffer(), np.uint16).reshape(-1, 2)
-                    bounds[n][:] = part if form is None else form(part)
+    for filesystem, path in map(pafs.FileSystem.from_uri, files):
+        for batch in pq.ParquetFile(filesystem.open_input_file(path)).iter_batches(1):
+            for n, data in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                part = np.frombuffer(data.as_buffer(), np.uint16).reshape(-1, 2)
+                bounds[n][:] = part if form is None else form(part)
     return out
 
 
@@ -882,13 +881,13 @@ class Model:
     frequent_choice: ChoiceModel
     frequent: Frequent
     clusters: Clusters
-    folder: str
+    files: list[str]
     bits: int
     code: tuple[np.ndarray, np.ndarray]
     mixer: Mixer
 
     def spelling(self) -> Spelling:
-        return Spelling(self.bits, load(self.folder, self.bits, packed), self.code, self.mixer)
+        return Spelling(self.bits, load(self.files, self.bits, packed), self.code, self.mixer)
 
 
 def train(docs: DataFrame) -> tuple[Model, Rare, DataFrame, int, int]:
@@ -897,9 +896,9 @@ def train(docs: DataFrame) -> tuple[Model, Rare, DataFrame, int, int]:
     clusters = train_clusters(own)
     give_back()
     width = len(clusters.prior)
-    counts = written(count_words(own, clusters), "counts")
+    counts = count_words(own, clusters)
     by_cluster = [F.sum(F.when(F.col("cluster") == k, F.col("n")).otherwise(0)).alias(f"c{k}") for k in range(width)]
-    totals = written(counts.groupBy("token").agg(F.sum("n").alias("c"), *by_cluster), "tokens")
+    totals = written_by_workers(counts.groupBy("token").agg(F.sum("n").alias("c"), *by_cluster), "tokens")
     sums = totals.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = sums["n"] or 0, sums["v"]
 
@@ -927,16 +926,15 @@ def train(docs: DataFrame) -> tuple[Model, Rare, DataFrame, int, int]:
     rare = Rare(discount, *(np.array([r[f"{x}{k}"] or 0 for k in range(width)]) for x in "wk"), r["n"] or 0, r["v"])
 
     again, choice = learn_choices(own, frequent, clusters)
-    folder = shared_path(docs.sparkSession, "tables")
     # each distinct word is learned in the cluster where it is most frequent, and in an order of its own
     most = F.greatest(*(F.col(f"c{k}") for k in range(width)))
     best = F.coalesce(*(F.when(F.col(f"c{k}") == most, F.lit(k)) for k in range(width)))
     mixed = F.xxhash64("token")
     words = totals.select("token", best.cast("int").alias("cluster")).repartition(max(6, totals.rdd.getNumPartitions() // 2), mixed).sortWithinPartitions(mixed)
-    words = written(words, "words")
+    words = written_by_workers(words, "words")
     code = code_of(byte_counts(words))
-    mixer = learn_words(words, code, SPELL_BITS, folder)
-    return Model(again, choice, frequent, clusters, folder, SPELL_BITS, code, mixer), rare, rest, n, v
+    files, mixer = learn_words(words, code, SPELL_BITS)
+    return Model(again, choice, frequent, clusters, files, SPELL_BITS, code, mixer), rare, rest, n, v
 
 
 # Scoring.
@@ -1004,7 +1002,7 @@ def score(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([numbers, batch.column(0), pa.array(sizes), pa.array(coded.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(own), words], names=["row", "doc_id", "n_tokens", "coded", "known", "base", "score", "rare"])
 
     # written: the row numbers hold from here on
-    scored = written(docs.mapInArrow(run, f"row long, doc_id {kind}, n_tokens long, coded long, known long, base double, score double, rare array<struct<token:string,cluster:int,times:bigint,left:bigint,spelled:double>>"), "scored")
+    scored = written_by_workers(docs, "scored", run, f"row long, doc_id {kind}, n_tokens long, coded long, known long, base double, score double, rare array<struct<token:string,cluster:int,times:bigint,left:bigint,spelled:double>>")
     each = scored.select("row", F.explode("rare").alias("x")).select("row", "x.*").join(rest, "token", "left")
     c = F.coalesce("c", F.lit(0))
     spelled = F.pow(F.lit(10.0), "spelled")

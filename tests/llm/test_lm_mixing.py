@@ -354,3 +354,18 @@ def test_scoring_needs_no_counts_by_cluster():
     at, cluster = rng.integers(0, 40, 100), rng.integers(0, 3, 100)
     slim = f.without_counts()
     assert slim.by_cluster is None and (slim.log_prob(at, cluster) == f.log_prob(at, cluster)).all()
+
+
+def test_no_table_of_the_operator_is_written_by_the_jvm(spark, rows, monkeypatch):
+    """An executor's JVM starts a command for each file that it makes on a local folder, and would hold what workers made."""
+    from pathlib import Path
+
+    from quern.llm import common
+
+    tags, real = [], common.shared_path
+    monkeypatch.setattr(common, "shared_path", lambda s, tag: tags.append(real(s, tag)) or tags[-1])
+    assert lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).count() == len(rows)
+    assert sorted(x.rsplit("/", 1)[1].split("-")[0] for x in tags) == ["choices", "marked", "scored", "tables", "tokens", "words"]
+    for x in tags:
+        found = [f.name for f in Path(x.removeprefix("file://")).iterdir()]
+        assert found and all(f.endswith(".parquet") and not f.startswith((".", "_")) for f in found), found
